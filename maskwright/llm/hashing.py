@@ -13,9 +13,17 @@ _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 16
 _MASK = (1 << 64) - 1
-_POWERS = np.cumprod(np.concatenate([[1], np.full(_BLOCK - 1, _BASE, np.uint64)]).astype(np.uint64))
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_BLOCK, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_POWERS = _powers(_BASE)
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_INVERSES = np.cumprod(np.concatenate([[1], np.full(_BLOCK - 1, _INVERSE, np.uint64)]).astype(np.uint64))
+_INVERSES = _powers(_INVERSE)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 _EXACT = np.where(SPACES, np.uint64(0), _BYTE)
