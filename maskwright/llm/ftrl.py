@@ -66,7 +66,7 @@ def vector(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Per-coordinate FTRL-proximal logistic regression; slot 0 of bias is a feature that is always 1."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.001):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -85,14 +85,17 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(examples: list[tuple[str | None, float]], epochs: int = 4, bits: int = BITS, seed: int = 7) -> np.ndarray:
-    """Weights learnt from (text, label) pairs, in a fixed shuffled order; the last is the bias."""
+def passes(rows: int) -> int:
+    """How often training goes over its rows: more often the fewer there are."""
+    return max(5, min(40, 60_000 // max(1, rows)))
+
+
+def train(slots: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> np.ndarray:
+    """Weights learnt from sparse rows in a fixed shuffled order; the last is the bias. Without rows, all are 0."""
     model, rng = Ftrl(bits), np.random.Generator(np.random.PCG64(seed))
-    vectors = [(*vector(text, bits), float(label)) for text, label in examples]
-    vectors = [(a.astype(np.int32), b.astype(np.float32), y) for a, b, y in vectors]
-    for _ in range(epochs):
-        for i in rng.permutation(len(vectors)):
-            model.update(*vectors[i])
+    for _ in range(passes(len(labels))):
+        for i in rng.permutation(len(labels)):
+            model.update(slots[i], values[i], labels[i])
     return model.weights().astype(np.float32)
 
 
@@ -110,34 +113,27 @@ def _vectors(bits: int):
     return run
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> DataFrame:
-    """Labelled rows whose crc32(id) mod 5 is not 0, in the order in which the bound takes them."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("double").alias("label"))
-    known = known.where(~held_out(F.col("id")))
-    return docs.select(F.col(id_col).cast("long").alias("id"), "text").join(known, "id").select("text", "label", F.xxhash64(F.col("id"), F.lit(11)).alias("place"))
-
-
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, bits: int = BITS, epochs: int = 4) -> np.ndarray:
-    """Train on at most rows labelled texts; without any, every text scores 0.5."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias(label))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
-    chosen = learning_rows(docs, known, label)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, bits: int = BITS) -> np.ndarray:
+    """Train on at most rows labelled texts; without any, every text scores 0.5.
+
+    The chosen ids are broadcast: there are at most rows of them. Their vectors, not their texts, go to the driver.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("double").alias("label"))
+    known = known.where(~held_out(F.col("id"))).withColumn("place", F.xxhash64("id", F.lit(11))).orderBy("place", "id").limit(rows)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id").select("text", "label", "place")
     made = chosen.mapInArrow(_vectors(bits), schema("slots array<int>, x array<float>, label double, place long")).toArrow().combine_chunks()
     if not made.num_rows:
         return np.zeros((1 << bits) + 1, np.float32)
-    slots, values = (made.column(c).combine_chunks() if hasattr(made.column(c), "combine_chunks") else made.column(c) for c in ("slots", "x"))
-    starts = slots.offsets.to_numpy()
-    slots, values, y = slots.values.to_numpy(), values.values.to_numpy(), made.column("label").to_numpy()
-    first = np.lexsort((np.diff(starts), y, made.column("place").to_numpy()))
-    model, rng = Ftrl(bits), np.random.Generator(np.random.PCG64(7))
-    for _ in range(epochs):
-        for i in first[rng.permutation(len(first))]:
-            model.update(slots[starts[i] : starts[i + 1]], values[starts[i] : starts[i + 1]], y[i])
-    return model.weights().astype(np.float32)
+    slots, values = made.column("slots").chunk(0), made.column("x").chunk(0)
+    starts, slots, values = slots.offsets.to_numpy(), slots.values.to_numpy(), values.values.to_numpy()
+    y = made.column("label").to_numpy()
+    order = np.lexsort((np.diff(starts), y, made.column("place").to_numpy()))
+    cut = lambda x: [x[starts[i] : starts[i + 1]] for i in order]
+    return train(cut(slots), cut(values), y[order], bits)
 
 
 def score(df: DataFrame, weights: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:

@@ -227,6 +227,16 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, count: int
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each_id(df: DataFrame) -> DataFrame:
+    """df with one row for each doc_id, the one with the smallest text; rows with a null id all stay."""
+    many = df.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
+    if many.isEmpty():
+        return df
+    repeated = df.join(many, df["doc_id"] == F.col("__id"), "left_semi")
+    first = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *(x for x in df.columns if x not in ("doc_id", "text")))).alias("x")).select("doc_id", "x.*").select(*df.columns)
+    return df.join(many, df["doc_id"] == F.col("__id"), "left_anti").union(first)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
