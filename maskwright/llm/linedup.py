@@ -48,21 +48,18 @@ def clean(df: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> Da
     empty. The document with the smallest id (null is the largest) keeps its copies of a line; rows that
     repeat that id keep theirs too. An empty table gives no rows. Columns named like helpers here stay untouched.
     """
-    key = F.coalesce(df["doc_id"].cast("long"), F.lit(_LAST))
-    docs = df.select(key.alias("id"), df[site].cast("string").alias("site"), df["text"].alias("text"))
+    whole = F.struct(*(df[x] for x in df.columns)).alias("row")
+    rows = df.select(whole, F.coalesce(df["doc_id"].cast("long"), F.lit(_LAST)).alias("id"))
+    docs = rows.select("id", F.col("row")[site].cast("string").alias("site"), F.col("row.text").alias("text"))
     found = durable(boilerplate(docs, min_sites))
-    gone = _lines(docs).select("id", "h").join(found, "h").where("id > first").groupBy("id").agg(F.collect_set("h").alias("h"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("h").alias("__gone"))
-    lines = F.split(df["text"], "\n", -1)
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("__gone", _line_hash(x)) | (F.trim(x) == "")))
-    total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    total = F.when(df["text"].isNull(), F.lit(0).cast("long")).otherwise(total)
-    out = df.join(gone, key == F.col("__id"), "left")
-    text = F.when(F.col("__gone").isNull(), df["text"]).otherwise(F.array_join("__kept", "\n"))
+    gone = _lines(docs).select("id", "h").join(found, "h").where("id > first").groupBy("id").agg(F.collect_set("h").alias("gone"))
+    out = rows.join(gone, "id", "left").withColumn("lines", F.split("row.text", "\n", -1))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", _line_hash(x)) | (F.trim(x) == "")))
+    out = out.withColumn("kept", kept)
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    count = lambda x: F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(x).cast("long")
     names = [x for x in df.columns if x not in ("n_lines", "n_removed")]
-    return out.withColumn("__kept", kept).withColumn("__n", total).select(
-        *(text.alias(x) if x == "text" else df[x] for x in names), F.col("__n").alias("n_lines"), F.when(df["text"].isNull(), F.lit(0).cast("long")).otherwise(F.col("__n") - F.size("__kept")).alias("n_removed")
-    )
+    return out.select(*(text.alias(x) if x == "text" else F.col("row")[x].alias(x) for x in names), count(F.size("lines")).alias("n_lines"), count(F.size("lines") - F.size("kept")).alias("n_removed"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

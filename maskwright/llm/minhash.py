@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, count: int
     for old in (sketched, classes, members, edges, sets):
         release(old)
     out = of_row.join(labels, "node", "left")
-    component = F.coalesce("label", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
