@@ -22,7 +22,7 @@ from .hashing import mix
 
 BITS = 18
 #: At most this many labelled rows, the ones with the smallest hashed ids, are learnt from.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 6_000
 THRESHOLD = 0.3
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+")
 _AGAIN, _CAPITALS, _BIGRAM = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9E3779B97F4A7C15

@@ -13,6 +13,7 @@ another value already has, or which is itself a real value, is drawn again until
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,20 +91,20 @@ def _digest(key: str, kind: Column, normal: Column, attempt: Column) -> Column:
     return F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("\x1f+")), 512))
 
 
-def _number(digest: Column, place: Column | int, size: int) -> Column:
+def _number(digest: Column, place: Column | int, size: Column | int) -> Column:
     """A number below size from four digits of the digest; place counts fours and wraps."""
     at = (F.lit(place) if isinstance(place, int) else place) % 64 * 4 + 1
     return F.conv(F.substring(digest, at, F.lit(4)), 16, 10).cast("int") % size
 
 
-def _pick(letters: str, digest: Column, place: Column) -> Column:
-    return F.substring(F.lit(letters), _number(digest, place, len(letters)) + 1, F.lit(1))
+def _respell(value: Column, digest: Column, hexadecimal: Column) -> Column:
+    """Every digit and letter drawn anew within its own class; all else stays. Hexadecimal letters stay such."""
+    letters = F.when(hexadecimal, 6).otherwise(26)
 
+    def draw(c: Column, i: Column) -> Column:
+        base = F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65)
+        return _let(base, lambda x: F.when(x.isNull(), c).otherwise(F.call_function("char", x + _number(digest, i, F.when(x == 48, 10).otherwise(letters)))))
 
-def _respell(value: Column, digest: Column, hexadecimal: bool = False) -> Column:
-    """Every digit and letter drawn anew within its own class; all else stays."""
-    lower, upper = ("abcdef", "ABCDEF") if hexadecimal else ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    draw = lambda c, i: F.when(c.rlike("[0-9]"), _pick("0123456789", digest, i)).when(c.rlike("[a-z]"), _pick(lower, digest, i)).when(c.rlike("[A-Z]"), _pick(upper, digest, i)).otherwise(c)
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), draw), "")
 
 
@@ -121,9 +122,9 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def _card(normal: Column, digest: Column) -> Column:
-    body = F.concat(F.substring(normal, 1, 1), _respell(F.substring(normal, F.lit(2), F.length(normal) - 2), digest))
-    ends = _let(body, lambda x: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(x, d.cast("string"))))
+def _card(first: Column, spelled: Column, normal: Column, digest: Column) -> Column:
+    """The first digit, drawn digits, and a last one that makes the checksum as good or bad as before."""
+    ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(first, spelled, d.cast("string")))
     alike = _let(_luhn(normal), lambda good: F.filter(ends, lambda x: _luhn(x) == good))
     return _let(alike, lambda x: F.get(x, _number(digest, 63, 9) % F.size(x)))
 
@@ -133,17 +134,12 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
 
 
-def _iban(normal: Column, digest: Column) -> Column:
-    country, body = F.substring(normal, 1, 2), _respell(F.substring(normal, F.lit(5), F.length(normal)), digest)
+def _iban(spelled: Column, normal: Column) -> Column:
+    """The country, check digits as good or bad as before, and the drawn rest."""
+    country = F.substring(normal, 1, 2)
     valid = _mod97(F.concat(F.substring(normal, F.lit(5), F.length(normal)), F.substring(normal, 1, 4))) == 1
-    check = 98 - _mod97(F.concat(body, country, F.lit("00")))
-    return F.concat(country, F.lpad(F.when(valid, check).otherwise(check % 97 + 1).cast("string"), 2, "0"), body)
-
-
-def _email(value: Column, digest: Column, key: str) -> Column:
-    local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
-    host = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("DOMAIN"), domain), 256)
-    return F.concat(_respell(local, digest), F.lit("@"), F.lit("m"), F.substring(host, 1, 10), F.lit(".example.com"))
+    check = _let(98 - _mod97(F.concat(spelled, country, F.lit("00"))), lambda x: F.when(valid, x).otherwise(x % 97 + 1))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), spelled)
 
 
 def _given_map(names: list[str], key: str) -> dict[str, str]:
@@ -152,11 +148,13 @@ def _given_map(names: list[str], key: str) -> dict[str, str]:
 
 
 def _name(value: Column, digest: Column, key: str) -> Column:
+    """A listed given name becomes another of its list, any other name five syllables of its script."""
     given = {k.lower(): v for names in (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC) for k, v in _given_map(names, key).items()}
-    known = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
-    syllables = lambda parts: F.initcap(F.concat(*(F.element_at(F.array(*map(F.lit, parts)), _number(digest, i, len(parts)) + 1) for i in range(5))))
-    made = F.coalesce(F.try_element_at(known, F.lower(value)), F.when(value.rlike(r"\p{IsCyrillic}"), syllables(_CYRILLIC)).otherwise(syllables(_LATIN)))
-    return F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(made)).otherwise(made)
+    known = F.from_json(F.lit(json.dumps(given)), "map<string,string>")
+    parts = F.split(F.when(value.rlike(r"\p{IsCyrillic}"), " ".join(_CYRILLIC)).otherwise(" ".join(_LATIN)), " ")
+    syllables = _let(parts, lambda x: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.element_at(x, _number(digest, i, len(_LATIN)) + 1)), "")))
+    made = F.coalesce(F.try_element_at(known, F.lower(value)), syllables)
+    return _let(made, lambda x: F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(x)).otherwise(x))
 
 
 def surrogate_of(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -167,20 +165,29 @@ def surrogate_of(kind: Column, value: Column, attempt: Column, key: str) -> Colu
 
 
 def _drawn(kind: Column, value: Column, normal: Column, digest: Column, key: str) -> Column:
+    """What to draw anew is settled by kind first, so that drawing and laying out are each spelt once."""
     octet = lambda i, low, size: (_number(digest, i, size) + low).cast("string")
-    country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(value, F.length(country) + 1, F.length(value))
-    return (
-        F.when(kind == "EMAIL", _email(value, digest, key))
-        .when(kind == "KEY", F.concat(F.substring(value, 1, 4), _respell(F.substring(value, F.lit(5), F.length(value)), digest)))
-        .when(kind == "SECRET", F.when(value.rlike("^[0-9a-fA-F]+$"), _respell(value, digest, True)).otherwise(_respell(value, digest)))
+    country = F.when(kind == "PHONE", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
+    shape = F.substring(value, F.length(country) + 1, F.length(value))
+    source = (
+        F.when(kind == "EMAIL", F.substring_index(value, "@", 1))
+        .when(kind.isin("KEY", "IBAN"), F.substring(normal, F.lit(5), F.length(normal)))
+        .when(kind == "CARD", F.substring(normal, F.lit(2), F.length(normal) - 2))
+        .when(kind == "PHONE", F.regexp_replace(shape, r"\D", ""))
+        .when(kind.isin("SECRET", "SSN"), normal)
+        .otherwise("")
+    )
+    host = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("DOMAIN"), F.lower(F.substring_index(value, "@", -1))), 256)
+    finished = lambda x: (
+        F.when(kind == "EMAIL", F.concat(x, F.lit("@m"), F.substring(host, 1, 10), F.lit(".example.com")))
+        .when(kind == "KEY", F.concat(F.substring(value, 1, 4), x))
+        .when(kind == "SECRET", x)
         .when(kind == "IP", F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
-        .when(kind == "CARD", _relay(value, _card(normal, digest)))
-        .when(kind == "IBAN", _let(_iban(normal, digest), lambda x: F.when(value.contains(" "), F.trim(F.regexp_replace(x, "(.{4})", "$1 "))).otherwise(x)))
-        .when(kind == "SSN", _relay(value, _respell(normal, digest)))
-        .when(kind == "PHONE", F.concat(country, _relay(rest, _respell(F.regexp_replace(rest, r"\D", ""), digest))))
+        .when(kind == "IBAN", _let(_iban(x, normal), lambda y: F.when(value.contains(" "), F.trim(F.regexp_replace(y, "(.{4})", "$1 "))).otherwise(y)))
+        .when(kind.isin("CARD", "SSN", "PHONE"), F.concat(country, _relay(shape, F.when(kind == "CARD", _card(F.substring(normal, 1, 1), x, normal, digest)).otherwise(x))))
         .otherwise(_name(value, digest, key))
     )
+    return _let(_respell(source, digest, (kind == "SECRET") & value.rlike("^[0-9a-fA-F]+$")), finished)
 
 
 def _replace(hit: Column, key: str, attempt) -> Column:
@@ -204,11 +211,12 @@ def settle(values: DataFrame, key: str) -> DataFrame:
     values = values.where(~((F.col("kind") == "NAME") & F.col("normal").isin(listed)))
     current = durable(values.withColumn("attempt", F.lit(0)))
     while True:
-        drawn = current.withColumn("s", _normal(F.col("kind"), surrogate_of(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+        drawn = durable(current.withColumn("s", _normal(F.col("kind"), surrogate_of(F.col("kind"), F.col("value"), F.col("attempt"), key))))
         shared = drawn.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "normal")).alias("first")).where("n > 1")
         beaten = drawn.join(shared, ["kind", "s"]).where(F.struct("attempt", "normal") != F.col("first")).select("kind", "normal")
         real = drawn.join(current.select("kind", F.col("normal").alias("s")), ["kind", "s"], "left_semi").select("kind", "normal")
         again = durable(beaten.union(real).distinct().withColumn("again", F.lit(1)))
+        release(drawn)
         if again.isEmpty():
             release(again)
             return current.where("attempt > 0").select("kind", "normal", "attempt")
@@ -225,26 +233,24 @@ def pseudonymize(df: DataFrame, key: str = "maskwright", id_col: str = "doc_id")
     rewritten alike, wherever they lie. Null ids are no obstacle. An empty table gives no rows. Columns
     named like helpers here stay untouched; an n_entities column of df is replaced.
     """
-    hits = hits_of(df["text"])
-    found = df.select(F.explode(F.array_distinct(hits)).alias("hit")).distinct()
+    rows = df.select(F.struct(*(df[x] for x in df.columns)).alias("row"), df["text"].alias("text"), hits_of(df["text"]).alias("hits"))
+    found = df.select(F.explode(F.array_distinct(hits_of(df["text"]))).alias("hit")).distinct()
     values = found.select(F.explode(pieces_of(F.col("hit"))).alias("x")).select("x.*").where(F.col("kind") != "KEEP")
     values = values.withColumn("normal", _normal(F.col("kind"), F.col("value"))).groupBy("kind", "normal").agg(F.min("value").alias("value"))
     redrawn = settle(values, key)
-    rows = df.withColumn("__hits", hits)
-    first = lambda kind, normal: F.lit(0)
     if redrawn.isEmpty():
-        attempt = first
+        attempt = lambda kind, normal: F.lit(0)
     else:
-        sought = rows.where(F.size("__hits") > 0).select(F.xxhash64("text").alias("__t"), F.explode(F.flatten(F.transform("__hits", pieces_of))).alias("x")).distinct()
-        sought = sought.select("__t", "x.kind", _normal(F.col("x.kind"), F.col("x.value")).alias("normal")).distinct().join(redrawn, ["kind", "normal"])
-        by_text = sought.groupBy("__t").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "normal"), "attempt"))).alias("__again"))
-        rows = rows.withColumn("__t", F.xxhash64("text")).join(by_text, "__t", "left")
-        attempt = lambda kind, normal: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws(" ", kind, normal)), F.lit(0))
+        sought = rows.where(F.size("hits") > 0).select(F.xxhash64("text").alias("t"), F.explode(F.flatten(F.transform("hits", pieces_of))).alias("x")).distinct()
+        sought = sought.select("t", "x.kind", _normal(F.col("x.kind"), F.col("x.value")).alias("normal")).distinct().join(redrawn, ["kind", "normal"])
+        by_text = sought.groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "normal"), "attempt"))).alias("again"))
+        rows = rows.withColumn("t", F.xxhash64("text")).join(by_text, "t", "left")
+        attempt = lambda kind, normal: F.coalesce(F.try_element_at(F.col("again"), F.concat_ws(" ", kind, normal)), F.lit(0))
     gaps = F.split(F.col("text"), PATTERN, -1)
-    whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("__hits").alias("hit")), lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(_replace(x["hit"], key, attempt)))), "")
-    text = F.when(F.size("__hits") > 0, whole).otherwise(F.col("text"))
+    whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("hits").alias("hit")), lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(_replace(x["hit"], key, attempt)))), "")
+    text = F.when(F.size("hits") > 0, whole).otherwise(F.col("text"))
     names = [x for x in df.columns if x != "n_entities"]
-    return rows.select(*(text.alias(x) if x == "text" else F.col(f"`{x}`") for x in names), F.coalesce(F.greatest(F.size("__hits"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"))
+    return rows.select(*(text.alias(x) if x == "text" else F.col("row")[x].alias(x) for x in names), F.coalesce(F.greatest(F.size("hits"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
