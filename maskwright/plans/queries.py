@@ -157,45 +157,38 @@ for _name in ("us_ssn", "us_itin", "us_npi", "fr_phone", "credit_card", "iban"):
     _register(f"analyze_{_name}", _analyzed_sql(_name, _MAKERS[_name]))(_analyzed(_name, _MAKERS[_name]))
 _register("analyze_min_score", _analyzed_sql("us_aba", _MAKERS["us_aba"], 0.4))(_analyzed("us_aba", _MAKERS["us_aba"], 0.4))
 
-_CONTEXT = f"SELECT CAST(o_orderkey AS BIGINT) AS id, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'email é ' WHEN o_orderkey % 3 = 1 THEN 'my Emails are one two three four five six ' ELSE 'addr ' END, 'a', {_key(4)}, '@b.org') AS text FROM orders"
-_register(
+_CONTEXT_TEXT = f"concat(CASE WHEN o_orderkey % 3 = 0 THEN 'email é ' WHEN o_orderkey % 3 = 1 THEN 'my Emails are one two three four five six ' ELSE 'addr ' END, 'a', {_key(4)}, '@b.org')"
+
+
+@_register(
     "context_boost",
-    f"WITH t AS ({_CONTEXT}), s AS ({spans_sql('SELECT * FROM t', _EMAIL)}), w AS (SELECT s.*, {window_sql('t.text', 's.start')} AS win FROM s JOIN t ON s.id = t.id) "
+    f"WITH t AS (SELECT CAST(o_orderkey AS BIGINT) AS id, {_CONTEXT_TEXT} AS text FROM orders), s AS ({spans_sql('SELECT * FROM t', _EMAIL)}), w AS (SELECT s.*, {window_sql('t.text', 's.start')} AS win FROM s JOIN t ON s.id = t.id) "
     f"SELECT id, start, round({boosted_sql('win', _EMAIL.context, 'score')}, 6) AS score, CASE WHEN contains(win, 'email') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS context_boost FROM w",
-)(
-    lambda spark, sf_dir: (
-        _table(spark, sf_dir, "orders").selectExpr(*[x for x in (f"CAST(o_orderkey AS BIGINT) AS id", _CONTEXT.split(" AS id, ", 1)[1].rsplit(" FROM ", 1)[0])])
-        .withColumn("raw", _EMAIL.detect(F.col("text"))).select("id", F.explode(Enhancer().enhance(F.col("text"), F.col("raw"), [_EMAIL])).alias("s"))
-        .select("id", "s.start", F.round("s.score", 6).alias("score"), "s.context_boost")
-    )
-)
+)
+def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "orders").select(F.expr("CAST(o_orderkey AS BIGINT)").alias("id"), F.expr(_CONTEXT_TEXT).alias("text"))
+    df = df.withColumn("raw", _EMAIL.detect(F.col("text"))).select("id", F.explode(Enhancer().enhance(F.col("text"), F.col("raw"), [_EMAIL])).alias("s"))
+    return df.select("id", "s.start", F.round("s.score", 6).alias("score"), "s.context_boost")
 
-# Spans made of order lines, for the folds over spans.
-_LINE = 'l_orderkey AS id, CASE WHEN l_returnflag = \'A\' THEN \'A\' ELSE \'B\' END AS entity_type, CAST(l_partkey % 30 AS INT) AS start, CAST(l_partkey % 30 + 1 + l_suppkey % 12 AS INT) AS "end", CAST(l_linenumber % 3 AS DOUBLE) / 4 AS score, CAST(l_linenumber AS BIGINT) AS ord'
+
+# Spans made of order lines, for the folds over spans: (name, expression) in both dialects.
+_LINE_COLUMNS = {
+    "id": "l_orderkey",
+    "entity_type": "CASE WHEN l_returnflag = 'A' THEN 'A' ELSE 'B' END",
+    "start": "CAST(l_partkey % 30 AS INT)",
+    "end": "CAST(l_partkey % 30 + 1 + l_suppkey % 12 AS INT)",
+    "score": "CAST(l_linenumber % 3 AS DOUBLE) / 4",
+    "ord": "CAST(l_linenumber AS BIGINT)",
+}
+_LINE = ", ".join(f'{v} AS "{k}"' for k, v in _LINE_COLUMNS.items())
 
 
 def _line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").selectExpr(*[x.strip() for x in _split(_LINE.replace('"end"', "`end`"))])
+    rows = _table(spark, sf_dir, "lineitem").select(*[F.expr(v).alias(k) for k, v in _LINE_COLUMNS.items()])
     span = make_span(F.col("entity_type"), F.col("start"), F.col("end"), F.col("score"), F.lit(None), F.lit(None), F.col("score"), F.lit(0.0), F.col("ord"))
     return rows.groupBy("id").agg(F.collect_list(span).alias("spans"))
 
 
-def _split(columns: str) -> list[str]:
-    return [f"{x} AS {y}" for x, y in (part.rsplit(" AS ", 1) for part in _parts(columns))]
-
-
-def _parts(columns: str) -> list[str]:
-    out, depth, last = [], 0, ""
-    for c in columns:
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
-            out.append(last)
-            last = ""
-        else:
-            last += c
-    return [*out, last]
-
-
 _FLAT = ["id", "s.entity_type", "s.start", "s.end", "s.score", "s.ord"]
 
 
