@@ -11,6 +11,8 @@ this part is a sum of the same kind, and the distance of two sums estimates how
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,27 @@ def combine(a: Column, b: Column, subtract: bool = False) -> Column:
     return F.concat(join(0, 8, 2 * WIDE), join(WIDE * 16, LANE_BITS // 4, LANES))
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A list as one literal: a plan does not grow with it."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _rank(x: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most x, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = _constant(cuts, "array<bigint>")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        below = F.get(table, middle) <= x
+        go = s["low"] < s["high"]
+        return F.struct(F.when(go & below, middle + 1).otherwise(s["low"]).alias("low"), F.when(go & ~below, middle).otherwise(s["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve, lambda s: s["low"])
+
+
 def with_next(df: DataFrame, buckets: int) -> DataFrame:
     """df (doc_id, text) with bucket, place and next_text: the text of the row that follows by descending
     doc_id, of the first row for the last. Ties go by text; null ids come last.
@@ -105,19 +128,17 @@ def with_next(df: DataFrame, buckets: int) -> DataFrame:
     before it, so one shuffle suffices and no window spans the table.
     """
     cuts = sorted({x for (xs,) in df.select(F.expr(f"approx_percentile(doc_id, array({', '.join(str(i / buckets) for i in range(1, buckets))}), 10000)")).collect() for x in xs or []}) if buckets > 1 else []
-    cut = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    # bucket 0 holds the largest ids
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(cut, lambda x: x > F.col("doc_id"))))
+    # bucket 0 holds the largest ids, the last one rows without an id
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _rank(F.col("doc_id"), cuts))
     rows = df.select("doc_id", "text", bucket.cast("int").alias("bucket"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
     tops = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     there = sorted(tops)
-    before = {b: there[i - 1] for i, b in enumerate(there)}
-    ghosts = F.lit(None).cast("int")
-    if there:
-        place = F.create_map(*[x for b in there for x in (F.lit(b), F.struct(F.lit(tops[b]).cast("long").alias("top"), F.lit(before[b]).alias("to")))])
-        mine = F.try_element_at(place, F.col("bucket"))
-        ghosts = F.when(F.col("doc_id").eqNullSafe(mine["top"]), mine["to"])
+    heads: list[dict | None] = [None] * (len(cuts) + 2)
+    for i, b in enumerate(there):
+        heads[b] = {"top": tops[b], "to": there[i - 1]}
+    mine = F.get(_constant(heads, "array<struct<top:bigint,to:int>>"), F.col("bucket"))
+    ghosts = F.when(F.col("doc_id").eqNullSafe(mine["top"]), mine["to"])
     sent = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.struct(ghosts.alias("b"), F.lit(True).alias("ghost"))), lambda x: x["b"].isNotNull())
     rows = rows.select("doc_id", "text", F.explode(sent).alias("x")).select("doc_id", "text", F.col("x.b").alias("bucket"), "x.ghost")
     window = Window.partitionBy("bucket").orderBy("ghost", *order)
