@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .analyze import Analyzer
+from .anonymize import anonymize
+
 
 def detection_failures(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """(id, failure, entity_type): expected spans that are missing or too unsure, and forbidden types that were found.
@@ -19,6 +22,15 @@ def detection_failures(found: DataFrame, corpus: DataFrame) -> DataFrame:
     return missing.select("id", F.lit("missing").alias("failure"), "entity_type").union(banned.select("id", F.lit("forbidden").alias("failure"), "entity_type"))
 
 
+def golden_failures(corpus: DataFrame, analyzer: Analyzer, min_score: float = 0.4) -> DataFrame:
+    """(id, text, expected_text) of the corpus rows that default operators rewrite to something else.
+
+    corpus: id, language, text, expected_text.
+    """
+    done = anonymize(analyzer.analyze(corpus, language=F.col("language"), min_score=min_score))
+    return done.where(~F.col("anonymized.text").eqNullSafe(F.col("expected_text"))).select("id", F.col("anonymized.text").alias("text"), "expected_text")
+
+
 def agreement(ours: DataFrame, theirs: DataFrame, min_score: float = 0.4, without: Sequence[str] = ()) -> DataFrame:
     """One row: spans that both have, spans that either has, and their ratio. Columns: id, entity_type, start, end, score."""
     keys = ["id", "entity_type", "start", "end"]

@@ -14,7 +14,8 @@ from ..operators import ner as N
 from ..operators import recognizers as R
 from ..operators.analyze import Analyzer, explode_spans
 from ..operators.context import Enhancer
-from ..operators.evaluate import agreement, detection_failures
+from ..operators.evaluate import agreement, detection_failures, golden_failures
+from ..operators.python_path import FunctionRecognizer, anonymize_with
 from ..operators.registry import Registry, default_registry
 from ..operators.resolve import drop_contained, without_conflicts
 from .oracle import VERDICTS, boosted_sql, spans_sql, window_sql
@@ -346,6 +347,35 @@ def ner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.explode(R.NerRecognizer().detect(F.lit(""), 0, F.col("artifacts"))).alias("s")).select("id", "s.entity_type", "s.start", "s.end", "s.score", "s.pattern")
 
 
+def _shelves(text: str):
+    """Shelf marks: a capital and its place."""
+    return [(i, i + 1, 0.5) for i, c in enumerate(text) if "A" <= c <= "Z"]
+
+
+@_register("function_recognizer", "SELECT id, 'SHELF' AS entity_type, CAST(i - 1 AS INTEGER) AS start, CAST(i AS INTEGER) AS \"end\", 0.5::DOUBLE AS score FROM (SELECT c_custkey AS id, c_mktsegment AS t, unnest(range(1, length(c_mktsegment) + 1)) AS i FROM customer) WHERE substr(t, i, 1) BETWEEN 'A' AND 'Z'")
+def function_recognizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recognizer = FunctionRecognizer("ShelfRecognizer", "SHELF", "en", _shelves)
+    df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("text"))
+    return df.select("id", F.explode(recognizer.detect(F.col("text"))).alias("s")).select("id", "s.entity_type", "s.start", "s.end", "s.score")
+
+
+def _backwards(value: str) -> str:
+    return value[::-1]
+
+
+@_register("operator_function", "SELECT c_custkey AS id, concat('né😀 ', reverse(c_name), ' dû') AS text, '_backwards' AS operator FROM customer")
+def operator_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = anonymize_with(_customers(spark, sf_dir), {"NAME": _backwards})
+    return done.select("id", F.col("anonymized.text").alias("text"), F.col("anonymized.items")[0]["operator"].alias("operator"))
+
+
+@_register("golden_failures", "SELECT c_custkey AS id, concat('mail <EMAIL_ADDRESS> of ', c_custkey) AS text, 'mail <EMAIL_ADDRESS> of 1' AS expected_text FROM customer WHERE c_custkey <> 1")
+def golden_failures_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("mail x@y.org of "), F.col("c_custkey").cast("string"))
+    corpus = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("en").alias("language"), text.alias("text"), F.lit("mail <EMAIL_ADDRESS> of 1").alias("expected_text"))
+    return golden_failures(corpus, Analyzer(Registry([R.email("en")])))
+
+
 def _capitals() -> N.Predict:
     """A stand-in for a model: words with a capital are people."""
     return lambda tokens: [("B-PER", 0.9) if t.text[:1].isupper() else ("O", 0.9) for t in tokens]

@@ -265,3 +265,22 @@ def test_stream(spark, tmp_path, small):
     done = streaming.anonymize_stream(stream, Analyzer(Registry([R.email("en")])))
     streaming.write_stream(done.select("doc_id", "anonymized.text"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_python_functions(spark):
+    from maskwright.operators.python_path import FunctionRecognizer, anonymize_with
+
+    def capitals(text):
+        return [(i, i + 1, 0.5) for i, c in enumerate(text) if c.isupper()]
+
+    def twice(value):
+        return value * 2
+
+    analyzer = Analyzer(Registry([FunctionRecognizer("Caps", "CAP", "en", capitals, ("shout",)), R.email("en")]))
+    df = sources.from_strings(spark, ["é shout A a@b.org", None, "", "x"])
+    rows = anonymize_with(analyzer.analyze(df), {"CAP": twice}).orderBy("id").collect()
+    assert [r.anonymized.text for r in rows] == ["é shout AA <EMAIL_ADDRESS>", None, "", "x"]
+    assert [(x.start, x.end, x.operator) for x in rows[0].anonymized["items"]] == [(8, 10, "twice"), (11, 26, "replace")]
+    assert rows[0].spans[0].score == 0.85
+    with pytest.raises(Exception, match="span out of range"):
+        result(anonymize_with(text_with(spark, [("A", 5, 99, 0.5)]), {}))
