@@ -32,7 +32,7 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words in a class, id or role that mark an element as no part of an article.
 _NOISE = set(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs topbar header masthead footer foot sidebar sidebars aside widget widgets "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs topbar header masthead footer sidebar sidebars aside widget widgets "
     "related recommended recommendations teaser share sharing social cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "subscribe subscription newsletter signup login register search searchbox form comment comments commentlist respond reply replies disqus discussion "
     "pagination pager toolbar skip hidden disclaimer copyright complementary contentinfo search navigation paywall".split()
@@ -49,7 +49,11 @@ def _noisy(name: str, attributes: str, inside_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if key in ("class", "id", "role") and any(x.lower() in _NOISE for x in _PIECE.split(value) if x) or key == "aria-hidden" and value.lower() == "true":
+        if key in ("class", "id", "role"):
+            found = _NOISE.intersection(x.lower() for x in _PIECE.split(value) if x)
+            if found and not (inside_article and found == {"header"}):
+                return True
+        elif key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
     return "hidden" in attributes.lower().split()
 

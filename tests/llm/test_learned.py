@@ -29,6 +29,11 @@ def test_odd_pages(page, text):
     assert htmltext.main_text(page) == text
 
 
+def test_headers_within_articles_and_hidden_parts():
+    page = '<article><div class="entry-header"><h1>Big title of this page</h1></div><p>Words of the article go here and on.</p><p style="display: none">unseen</p><p aria-hidden="true">unread</p></article>'
+    assert htmltext.main_text(page) == "Big title of this page Words of the article go here and on."
+
+
 def test_weights_have_their_signs():
     assert htmltext.WEIGHTS["word"] > 0 and all(v <= 0 for k, v in htmltext.WEIGHTS.items() if k != "word")
 
