@@ -35,7 +35,7 @@ class Analyzer:
 
     def _can_pass(self, recognizer, min_score: float) -> bool:
         """Whether any span of a recognizer can reach min_score: what cannot need not be looked for."""
-        if not hasattr(recognizer, "patterns") or recognizer.validate is not None:
+        if not hasattr(recognizer, "patterns") or recognizer.validate is not None or recognizer.validators:
             return True
         boosted = self.enhancer is not None and bool(recognizer.context)
         best = max(p.score for p in recognizer.patterns)
