@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = set_before.get() if set_before.isDefined() else ""
     if not found:
         found = tempfile.mkdtemp(prefix="maskwright-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
