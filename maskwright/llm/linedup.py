@@ -63,7 +63,7 @@ def clean(df: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> Da
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 OP8_SQL = """
