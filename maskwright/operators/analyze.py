@@ -42,20 +42,22 @@ class Analyzer:
         return (min(1.0, max(self.enhancer.floor, best + self.enhancer.factor)) if boosted else best) >= min_score
 
     def raw(self, text: Column, language: Column | str, entities: Sequence[str] = (), min_score: float = 0.0, artifacts: Column | None = None) -> Column:
-        """All matches in the registry's order. A language column picks each recognizer's rows."""
+        """All matches, numbered in the registry's order. A language column picks each recognizer's rows."""
         languages = [language] if isinstance(language, str) else self.registry.languages()
         chosen = [x for code in languages for x in self.registry.get(code, entities) if min_score <= 0 or self._can_pass(x, min_score)]
         groups: dict[tuple, list[tuple[int, object]]] = {}
         for order, x in enumerate(chosen):
             key = (x.name, x.entities, getattr(x, "patterns", None), getattr(x, "labels", None))
             groups.setdefault(key, []).append((order, x))
-        parts = []
+        parts, with_digits = [], []
         for same in groups.values():
             order, x = same[0]
             found = x.detect(text, order, artifacts)
             if not isinstance(language, str):
                 found = F.when(language.isin(*[y.language for _, y in same]), found).otherwise(empty_spans())
-            parts.append(found)
+            (with_digits if getattr(x, "digits", False) else parts).append(found)
+        if with_digits:
+            parts.append(F.when(text.rlike("[0-9]"), F.concat(*with_digits)).otherwise(empty_spans()))
         if not parts:
             return empty_spans()
         spans = parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -89,7 +91,16 @@ class Analyzer:
         return df.withColumn(to, by_place(spans).cast(SPANS)).drop(*drop)
 
 
+def span_rows(df: DataFrame, spans: Column | str = "spans", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, and s, for each span.
+
+    An outer explode with a filter behind it: a plain one would have its own filter on the array pushed down
+    through every projection, and all of the detection done again there.
+    """
+    return df.select(*keep, F.explode_outer(spans).alias("s")).where(F.col("s").isNotNull())
+
+
 def explode_spans(df: DataFrame, text: str = "text", spans: str = "spans", keep: Sequence[str] = ()) -> DataFrame:
     """One row for each span, with the text it covers."""
-    rows = df.select(*keep, F.col(text).alias("__text"), F.explode(spans).alias("s"))
+    rows = span_rows(df.withColumn("__text", F.col(text)), spans, [*keep, "__text"])
     return rows.select(*keep, "s.*", F.substring("__text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))

@@ -27,6 +27,8 @@ class PatternRecognizer:
     validate: Callable[[Column], Column] | None = None
     context: tuple[str, ...] = ()
     validators: dict[str, Callable[[Column], Column]] = field(default_factory=dict, hash=False, compare=False)
+    #: Whether every match holds a digit; texts without any are then passed over for all such recognizers at once.
+    digits: bool = False
 
     def __post_init__(self) -> None:
         if not self.patterns:
@@ -93,7 +95,7 @@ def url_base(domains: Sequence[str]) -> str:
 def credit_card(language: str) -> PatternRecognizer:
     regex = r"\b((4\d{3})|(5[0-5]\d{2})|(6\d{3})|(1\d{3})|(3\d{3}))[- ]?(\d{3,4})[- ]?(\d{3,4})[- ]?(\d{3,5})\b"
     words = ("credit", "card", "visa", "mastercard", "cc ", "amex", "discover", "jcb", "diners", "maestro", "instapayment")
-    return PatternRecognizer("CreditCardRecognizer", "CREDIT_CARD", language, (Pattern("All Credit Cards (weak)", regex, 0.3, gate=_digits(3)),), V.credit_card, words)
+    return PatternRecognizer("CreditCardRecognizer", "CREDIT_CARD", language, (Pattern("All Credit Cards (weak)", regex, 0.3, gate=_digits(3)),), V.credit_card, words, digits=True)
 
 
 _ATOM = r"!#$%&'*+\-/=?^_`{|}~\w"
@@ -106,7 +108,7 @@ def email(language: str) -> PatternRecognizer:
 
 
 def iban(language: str) -> PatternRecognizer:
-    return PatternRecognizer("IbanRecognizer", "IBAN_CODE", language, (Pattern("IBAN (generic)", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 0.5, gate=_some_digit),), V.iban, ("iban", "bank", "transaction"))
+    return PatternRecognizer("IbanRecognizer", "IBAN_CODE", language, (Pattern("IBAN (generic)", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 0.5, gate=_some_digit),), V.iban, ("iban", "bank", "transaction"), digits=True)
 
 
 def ip(language: str) -> PatternRecognizer:
@@ -135,7 +137,7 @@ def mac(language: str) -> PatternRecognizer:
 
 
 def crypto(language: str) -> PatternRecognizer:
-    return PatternRecognizer("CryptoRecognizer", "CRYPTO", language, (Pattern("Crypto (Medium)", "(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5, gate=_some_digit),), V.crypto, ("wallet", "btc", "bitcoin", "crypto"))
+    return PatternRecognizer("CryptoRecognizer", "CRYPTO", language, (Pattern("Crypto (Medium)", "(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}", 0.5, gate=_some_digit),), V.crypto, ("wallet", "btc", "bitcoin", "crypto"), digits=True)
 
 
 def generic(language: str, domains: Sequence[str] | None = None) -> list[PatternRecognizer]:
@@ -151,7 +153,7 @@ def us_ssn(language: str = "en") -> PatternRecognizer:
         Pattern("SSN4 (very weak)", r"\b[0-9]{9}\b", 0.05, gate=_digits(9)),
         Pattern("SSN5 (medium)", r"\b([0-9]{3})[- .]([0-9]{2})[- .]([0-9]{4})\b", 0.5, gate=_digits(4)),
     )
-    return PatternRecognizer("UsSsnRecognizer", "US_SSN", language, patterns, V.ssn, ("social", "security", "ssn", "ssns", "ssid"))
+    return PatternRecognizer("UsSsnRecognizer", "US_SSN", language, patterns, V.ssn, ("social", "security", "ssn", "ssns", "ssid"), digits=True)
 
 
 def us_itin(language: str = "en") -> PatternRecognizer:
@@ -161,12 +163,12 @@ def us_itin(language: str = "en") -> PatternRecognizer:
         Pattern("Itin (weak)", rf"\b9\d{{2}}{group}\d{{4}}\b", 0.3, gate=_digits(9)),
         Pattern("Itin (medium)", rf"\b9\d{{2}}[- ]{group}[- ]\d{{4}}\b", 0.5, gate=_digits(4)),
     )
-    return PatternRecognizer("UsItinRecognizer", "US_ITIN", language, patterns, None, ("individual", "taxpayer", "itin", "tax", "payer", "taxid", "tin"))
+    return PatternRecognizer("UsItinRecognizer", "US_ITIN", language, patterns, None, ("individual", "taxpayer", "itin", "tax", "payer", "taxid", "tin"), digits=True)
 
 
 def us_passport(language: str = "en") -> PatternRecognizer:
     patterns = (Pattern("Passport (very weak)", r"(\b[0-9]{9}\b)", 0.05, gate=_digits(9)), Pattern("Passport Next Generation (very weak)", r"(\b[A-Z][0-9]{8}\b)", 0.1, gate=_digits(8)))
-    return PatternRecognizer("UsPassportRecognizer", "US_PASSPORT", language, patterns, None, ("us", "united", "states", "passport", "passport#", "travel", "document"))
+    return PatternRecognizer("UsPassportRecognizer", "US_PASSPORT", language, patterns, None, ("us", "united", "states", "passport", "passport#", "travel", "document"), digits=True)
 
 
 # The forms of driver licence numbers, one of them with a bracket too few, which is kept.
@@ -181,33 +183,33 @@ def us_license(language: str = "en") -> PatternRecognizer:
         Pattern("Driver License - Alphanumeric (weak)", rf"\b({'|'.join(LICENSE_FORMS)})\b", 0.3, gate=_some_digit),
         Pattern("Driver License - Digits (very weak)", r"\b([0-9]{6,14}|[0-9]{16})\b", 0.01, gate=_digits(6)),
     )
-    return PatternRecognizer("UsLicenseRecognizer", "US_DRIVER_LICENSE", language, patterns, None, ("driver", "license", "permit", "lic", "identification", "dls", "cdls", "lic#", "driving"))
+    return PatternRecognizer("UsLicenseRecognizer", "US_DRIVER_LICENSE", language, patterns, None, ("driver", "license", "permit", "lic", "identification", "dls", "cdls", "lic#", "driving"), digits=True)
 
 
 def us_bank(language: str = "en") -> PatternRecognizer:
-    return PatternRecognizer("UsBankRecognizer", "US_BANK_NUMBER", language, (Pattern("Bank Account (weak)", r"\b[0-9]{8,17}\b", 0.05, gate=_digits(8)),), None, ("check", "account", "account#", "acct", "bank", "save", "debit"))
+    return PatternRecognizer("UsBankRecognizer", "US_BANK_NUMBER", language, (Pattern("Bank Account (weak)", r"\b[0-9]{8,17}\b", 0.05, gate=_digits(8)),), None, ("check", "account", "account#", "acct", "bank", "save", "debit"), digits=True)
 
 
 def us_aba(language: str = "en") -> PatternRecognizer:
     patterns = (Pattern("ABA routing number (weak)", r"\b[0123678]\d{8}\b", 0.05, gate=_digits(9)), Pattern("ABA routing number", r"\b[0123678]\d{3}-\d{4}-\d\b", 0.3, gate=_digits(4)))
-    return PatternRecognizer("AbaRoutingRecognizer", "ABA_ROUTING_NUMBER", language, patterns, V.aba, ("aba", "routing", "abarouting", "association", "bankrouting"))
+    return PatternRecognizer("AbaRoutingRecognizer", "ABA_ROUTING_NUMBER", language, patterns, V.aba, ("aba", "routing", "abarouting", "association", "bankrouting"), digits=True)
 
 
 def us_npi(language: str = "en") -> PatternRecognizer:
     patterns = (Pattern("NPI (weak)", r"\b[12]\d{9}\b", 0.1, gate=_digits(10)), Pattern("NPI (medium)", r"\b[12]\d{3}[ -]\d{3}[ -]\d{3}\b", 0.4, gate=_digits(4)))
-    return PatternRecognizer("UsNpiRecognizer", "US_NPI", language, patterns, V.npi, ("npi", "national provider", "provider", "npi number", "provider id", "provider identifier", "taxonomy"))
+    return PatternRecognizer("UsNpiRecognizer", "US_NPI", language, patterns, V.npi, ("npi", "national provider", "provider", "npi number", "provider id", "provider identifier", "taxonomy"), digits=True)
 
 
 def us_mbi(language: str = "en") -> PatternRecognizer:
     n, a, x = "[0-9]", "[ACDEFGHJKMNPQRTUVWXY]", "[0-9ACDEFGHJKMNPQRTUVWXY]"
     patterns = (Pattern("MBI (weak)", rf"\b{n}{a}{x}{n}{a}{x}{n}{a}{a}{n}{n}\b", 0.3, gate=_some_digit), Pattern("MBI (medium)", rf"\b{n}{a}{x}{n}-{a}{x}{n}-{a}{a}{n}{n}\b", 0.5, gate=_some_digit))
-    return PatternRecognizer("UsMbiRecognizer", "US_MBI", language, patterns, None, ("medicare", "mbi", "beneficiary", "cms", "medicaid", "hic", "hicn"))
+    return PatternRecognizer("UsMbiRecognizer", "US_MBI", language, patterns, None, ("medicare", "mbi", "beneficiary", "cms", "medicaid", "hic", "hicn"), digits=True)
 
 
 def medical_license(language: str = "en") -> PatternRecognizer:
     first = "[abcdefghjklmprstuxABCDEFGHJKLMPRSTUX]"
     regex = rf"{first}[a-zA-Z]\d{{7}}|{first}9\d{{7}}"
-    return PatternRecognizer("MedicalLicenseRecognizer", "MEDICAL_LICENSE", language, (Pattern("USA DEA Certificate Number (weak)", regex, 0.4, gate=_digits(7)),), V.dea, ("medical", "certificate", "DEA"))
+    return PatternRecognizer("MedicalLicenseRecognizer", "MEDICAL_LICENSE", language, (Pattern("USA DEA Certificate Number (weak)", regex, 0.4, gate=_digits(7)),), V.dea, ("medical", "certificate", "DEA"), digits=True)
 
 
 def us(language: str = "en") -> list[PatternRecognizer]:
@@ -215,20 +217,20 @@ def us(language: str = "en") -> list[PatternRecognizer]:
 
 
 def fr_nir() -> PatternRecognizer:
-    return PatternRecognizer("FrNirRecognizer", "FR_NIR", "fr", (Pattern("NIR (weak)", r"\b[12][ ]?\d{2}[ ]?\d{2}[ ]?(\d{2}|2[AB])[ ]?\d{3}[ ]?\d{3}[ ]?\d{2}\b", 0.3, gate=_some_digit),), V.nir, ("sécurité sociale", "sécu", "nir", "insee", "assuré"))
+    return PatternRecognizer("FrNirRecognizer", "FR_NIR", "fr", (Pattern("NIR (weak)", r"\b[12][ ]?\d{2}[ ]?\d{2}[ ]?(\d{2}|2[AB])[ ]?\d{3}[ ]?\d{3}[ ]?\d{2}\b", 0.3, gate=_some_digit),), V.nir, ("sécurité sociale", "sécu", "nir", "insee", "assuré"), digits=True)
 
 
 def fr_siren() -> PatternRecognizer:
-    return PatternRecognizer("FrSirenRecognizer", "FR_SIREN", "fr", (Pattern("SIREN (weak)", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.3, gate=_digits(3)),), V.french_luhn, ("siren", "entreprise", "société", "rcs"))
+    return PatternRecognizer("FrSirenRecognizer", "FR_SIREN", "fr", (Pattern("SIREN (weak)", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.3, gate=_digits(3)),), V.french_luhn, ("siren", "entreprise", "société", "rcs"), digits=True)
 
 
 def fr_siret() -> PatternRecognizer:
-    return PatternRecognizer("FrSiretRecognizer", "FR_SIRET", "fr", (Pattern("SIRET (weak)", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}[ ]?\d{5}\b", 0.3, gate=_digits(5)),), V.french_luhn, ("siret", "établissement", "facture"))
+    return PatternRecognizer("FrSiretRecognizer", "FR_SIRET", "fr", (Pattern("SIRET (weak)", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}[ ]?\d{5}\b", 0.3, gate=_digits(5)),), V.french_luhn, ("siret", "établissement", "facture"), digits=True)
 
 
 def fr_plate() -> PatternRecognizer:
     letters = "[A-HJ-NP-TV-Z]{2}"
-    return PatternRecognizer("FrLicensePlateRecognizer", "FR_LICENSE_PLATE", "fr", (Pattern("Plaque SIV", rf"\b{letters}-\d{{3}}-{letters}\b", 0.4, gate=_digits(3)),), None, ("immatriculation", "plaque", "véhicule", "voiture"))
+    return PatternRecognizer("FrLicensePlateRecognizer", "FR_LICENSE_PLATE", "fr", (Pattern("Plaque SIV", rf"\b{letters}-\d{{3}}-{letters}\b", 0.4, gate=_digits(3)),), None, ("immatriculation", "plaque", "véhicule", "voiture"), digits=True)
 
 
 def fr_phone() -> PatternRecognizer:
@@ -236,7 +238,7 @@ def fr_phone() -> PatternRecognizer:
         Pattern("Téléphone national", r"\b0[1-9](?:[ .-]?\d{2}){4}\b", 0.4, gate=_digits(2)),
         Pattern("Téléphone international", r"(?:\+33|0033)[ .-]?[1-9](?:[ .-]?\d{2}){4}\b", 0.5, gate=_digits(2)),
     )
-    return PatternRecognizer("FrPhoneRecognizer", "FR_PHONE_NUMBER", "fr", patterns, None, ("téléphone", "tél", "portable", "mobile", "appelle", "joindre"))
+    return PatternRecognizer("FrPhoneRecognizer", "FR_PHONE_NUMBER", "fr", patterns, None, ("téléphone", "tél", "portable", "mobile", "appelle", "joindre"), digits=True)
 
 
 def fr() -> list[PatternRecognizer]:

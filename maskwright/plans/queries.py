@@ -12,7 +12,7 @@ from ..functions.matching import make_span
 from ..operators import anonymize as A
 from ..operators import ner as N
 from ..operators import recognizers as R
-from ..operators.analyze import Analyzer, explode_spans
+from ..operators.analyze import Analyzer, explode_spans, span_rows
 from ..operators.context import Enhancer
 from ..operators.evaluate import agreement, detection_failures, golden_failures
 from ..operators.python_path import FunctionRecognizer, anonymize_with
@@ -77,8 +77,7 @@ def texts_sql(name: str) -> str:
 
 
 def _detected(recognizer: R.PatternRecognizer, df: DataFrame) -> DataFrame:
-    rows = df.select("id", F.explode(recognizer.detect(F.col("text"))).alias("s"))
-    return rows.select("id", "s.entity_type", "s.start", "s.end", "s.score")
+    return span_rows(df, recognizer.detect(F.col("text")), ["id"]).select("id", "s.entity_type", "s.start", "s.end", "s.score")
 
 
 def _register(name: str, sql: str | None = None):
@@ -149,7 +148,7 @@ SELECT id, entity_type, start, "end", round(score, 6) AS score FROM d WHERE scor
 def _analyzed(name: str, recognizer: R.PatternRecognizer, min_score: float = 0.0) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = Analyzer(Registry([recognizer])).analyze(texts(spark, sf_dir, name), language=recognizer.language, min_score=min_score)
-        return df.select("id", F.explode("spans").alias("s")).select("id", "s.entity_type", "s.start", "s.end", F.round("s.score", 6).alias("score"))
+        return span_rows(df, keep=["id"]).select("id", "s.entity_type", "s.start", "s.end", F.round("s.score", 6).alias("score"))
 
     return run
 
@@ -168,8 +167,8 @@ _CONTEXT_TEXT = f"concat(CASE WHEN o_orderkey % 3 = 0 THEN 'email é ' WHEN o_or
 )
 def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "orders").select(F.expr("CAST(o_orderkey AS BIGINT)").alias("id"), F.expr(_CONTEXT_TEXT).alias("text"))
-    df = df.withColumn("raw", _EMAIL.detect(F.col("text"))).select("id", F.explode(Enhancer().enhance(F.col("text"), F.col("raw"), [_EMAIL])).alias("s"))
-    return df.select("id", "s.start", F.round("s.score", 6).alias("score"), "s.context_boost")
+    df = df.withColumn("raw", _EMAIL.detect(F.col("text")))
+    return span_rows(df, Enhancer().enhance(F.col("text"), F.col("raw"), [_EMAIL]), ["id"]).select("id", "s.start", F.round("s.score", 6).alias("score"), "s.context_boost")
 
 
 # Spans made of order lines, for the folds over spans: (name, expression) in both dialects.
@@ -200,7 +199,7 @@ SELECT id, entity_type, start, "end", score, ord FROM b c WHERE NOT EXISTS (SELE
   AND (k.score > c.score OR (k.score = c.score AND (k."end" - k.start > c."end" - c.start OR (k."end" - k.start = c."end" - c.start AND k.ord < c.ord)))))""",
 )
 def drop_contained_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_spans(spark, sf_dir).select("id", F.explode(drop_contained(F.col("spans"))).alias("s")).select(*_FLAT)
+    return span_rows(_line_spans(spark, sf_dir), drop_contained(F.col("spans")), ["id"]).select(*_FLAT)
 
 
 @_register(
@@ -211,7 +210,7 @@ r AS (SELECT id, list_reduce(list_transform(x, lambda v: [v]), lambda acc, v: CA
 SELECT id, u.t AS entity_type, u.s AS start, u.e AS "end", u.c AS score, u.o AS ord FROM (SELECT id, unnest(k) AS u FROM r)""",
 )
 def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_spans(spark, sf_dir).select("id", F.explode(without_conflicts(F.col("spans"))).alias("s")).select(*_FLAT)
+    return span_rows(_line_spans(spark, sf_dir), without_conflicts(F.col("spans")), ["id"]).select(*_FLAT)
 
 
 @_register(
@@ -315,13 +314,13 @@ def supported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only documents in French have a recognizer here."""
     done = Analyzer(Registry([R.email("fr")]), enhancer=None).analyze(_documents(spark, sf_dir), language=F.col("lang"))
-    return done.select("id", F.explode("spans").alias("s")).select("id", "s.entity_type", "s.start", "s.end", "s.score")
+    return span_rows(done, keep=["id"]).select("id", "s.entity_type", "s.start", "s.end", "s.score")
 
 
 @_register("entity_selection", f"SELECT id, entity_type, start, \"end\", score FROM ({spans_sql(texts_sql('us_bank'), _MAKERS['us_bank'])}) z")
 def entity_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = Analyzer(default_registry("en", domains=DOMAINS), enhancer=None).analyze(texts(spark, sf_dir, "us_bank"), entities=["US_BANK_NUMBER"])
-    return done.select("id", F.explode("spans").alias("s")).select("id", "s.entity_type", "s.start", "s.end", "s.score")
+    return span_rows(done, keep=["id"]).select("id", "s.entity_type", "s.start", "s.end", "s.score")
 
 
 @_register("analyze_documents")
