@@ -8,7 +8,7 @@ could run away have a possessive form of their own.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ class Pattern:
     regex: str
     score: float
     java: str | None = None
-    gate: Callable[[Column], Column] | None = None
+    gate: Callable[[Column], Column] | None = field(default=None, compare=False)
 
     def for_java(self) -> str:
         return self.java or translate(self.regex)

@@ -18,6 +18,7 @@ from ..operators.evaluate import agreement, detection_failures, golden_failures
 from ..operators.python_path import FunctionRecognizer, anonymize_with
 from ..operators.registry import Registry, default_registry
 from ..operators.resolve import drop_contained, without_conflicts
+from ..sources import spread
 from .oracle import VERDICTS, boosted_sql, spans_sql, window_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +69,7 @@ _MAKERS: dict[str, R.PatternRecognizer] = {
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, key, text = TEXTS[name]
-    return _table(spark, sf_dir, table).select(F.expr(f"CAST({key} AS BIGINT)").alias("id"), F.expr(text).alias("text"))
+    return spread(_table(spark, sf_dir, table)).select(F.expr(f"CAST({key} AS BIGINT)").alias("id"), F.expr(text).alias("text"))
 
 
 def texts_sql(name: str) -> str:
@@ -101,7 +102,7 @@ _EMAIL, _IP, _URL = R.email("en"), R.ip("en"), R.url("en", DOMAINS)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
 
 
 @_register("detect_email_documents", f"SELECT {_SPAN_COLUMNS} FROM ({spans_sql(_DOCUMENTS, _EMAIL)}) z")

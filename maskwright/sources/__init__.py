@@ -32,6 +32,16 @@ def read_texts(spark: SparkSession, path: str, kind: str = "parquet", text: str
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if its files make fewer partitions than there are: few files, or one row group.
+
+    Detection is work on each row, so a scan on one core would hold up the rest. Large tables have partitions
+    enough and come back as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_strings(spark: SparkSession, texts: list[str | None], language: str = "en") -> DataFrame:
     return spark.createDataFrame([(i, x, language) for i, x in enumerate(texts)], "id long, text string, lang string")
 
