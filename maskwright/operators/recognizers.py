@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,25 +70,42 @@ class NerRecognizer:
         return F.coalesce(F.transform(kept, span), empty_spans())
 
 
-# Generic top-level domains, in the order in which they are tried. Further ones can be given as a parameter.
-GENERIC_DOMAINS = (
-    "com edu gov int mil net onl org pro red tel uno xxx academy agency app art asia associates auction audio auto band bar beer best bet bid bike bio black blog blue boutique build builders business buzz cafe camera camp capital "
-    "cards care careers cash casino center chat cheap church city cleaning click clinic clothing cloud club codes coffee college community company computer construction consulting cool coupons credit dance date dating day deals degree delivery dental "
-    "design dev diamonds diet digital direct directory discount doctor dog domains download earth education email energy engineer engineering enterprises equipment estate events exchange expert express family farm fashion finance financial fish fit fitness "
-    "flights florist football foundation fun fund furniture gallery game games garden gifts global gold golf graphics green group guide guru health help holiday homes host house info international link live media mobi money name network news ninja "
-    "one online page photo photography pizza plus press report rocks run sale school science services sh shop site social software solutions space store style support systems team tech technology tips today tools top tours town trade training travel university video vip website wiki win work works world xyz zone"
+# All top-level domains of the reference, in the order in which they are tried: as no boundary follows, the first that fits wins.
+DOMAINS = (
+    "com edu gov int mil net onl org pro red tel uno xxx academy accountant accountants actor adult africa agency airforce apartments app archi army art asia associates attorney auction audio auto autos baby band bar bargains beer "
+    "berlin best bet bid bike bio black blackfriday blog blue boats bond boo boston bot boutique build builders business buzz cab cafe cam camera camp capital car cards care careers cars casa cash casino catering center ceo cfd charity "
+    "chat cheap christmas church city claims cleaning click clinic clothing cloud club codes coffee college community company computer condos construction consulting contact contractors cooking cool coupons courses credit creditcard "
+    "cricket cruises cyou dad dance date dating day degree delivery democrat dental dentist desi design dev diamonds diet digital direct directory discount doctor dog domains download earth eco education email energy engineer "
+    "engineering enterprises equipment esq estate events exchange expert exposed express fail faith family fans farm fashion feedback film finance financial fish fishing fit fitness flights florist flowers football forsale foundation "
+    "fun fund furniture futbol fyi gallery game games garden gay gdn gifts gives giving glass global gmbh gold golf graphics gratis green gripe group guide guitars guru hair hamburg haus health healthcare help hiphop hockey holdings "
+    "holiday homes horse hospital host hosting house how icu info ink institute insure international investments irish jewelry jetzt juegos kaufen kids kitchen kiwi krd kyoto land lat law lawyer lease legal lgbt life lighting limited "
+    "limo link live loan loans lol london love ltd ltda luxury maison management market marketing markets mba media melbourne meme memorial men miami mobi moda moe mom money monster mortgage motorcycles mov movie nagoya name navy "
+    "network new news ngo ninja now nyc observer okinawa one ong online organic osaka page paris partners parts party pet phd photo photography photos pics pictures pink pizza place plumbing plus poker porn press productions prof promo "
+    "properties property protection pub quest racing recipes rehab reise reisen rent rentals repair report republican rest restaurant review reviews rip rocks rodeo rsvp run saarland sale salon sarl sbs school schule science services "
+    "sex sexy sh shoes shop shopping show singles site skin soccer social software solar solutions soy space spiegel study style sucks supply support surf surgery systems tax taxi team tech technology theater tips tires today tools top "
+    "tours town toys trade training tube uk university vacations ventures vet video villas vin vip vision vlaanderen vodka vote voting voyage wales wang watch webcam website wedding wiki wine work works world wtf xyz yoga yokohama you "
+    "zone ac ad ae af ag ai al am an ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr "
+    "ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt "
+    "mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg si sj sk sl sm sn so sr st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tp tr tt tv tw tz ua "
+    "ug us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
 ).split()
 
 
-def country_domains() -> list[str]:
-    """Two-letter domains: the country codes that the JVM knows, and four that are no countries; none without a running Spark."""
-    context = SparkContext._active_spark_context
-    codes = [x.lower() for x in context._jvm.java.util.Locale.getISOCountries()] if context else []
-    return sorted({*codes, "ac", "eu", "su", "uk"})
+def ordered(words: Sequence[str]) -> str:
+    """An alternation that chooses as words in their order would, with common beginnings tried once."""
+    by_first: dict[str, list[str]] = {}
+    for word in words:
+        if not word:
+            # What comes later is never reached.
+            by_first[""] = []
+            break
+        by_first.setdefault(word[0], []).append(word[1:])
+    branches = [first + (ordered(rests) if any(rests) else "") for first, rests in by_first.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
 
-def url_base(domains: Sequence[str]) -> str:
-    return rf"(?:(?:www[0-9]{{0,3}}[.])?[a-z0-9.\-]{{1,253}}[.](?:{'|'.join(domains)})(?:/[^\t\n\f\r ()<>\"']*)?)"
+def url_base(domain: str) -> str:
+    return rf"(?:(?:www[0-9]{{0,3}}[.])?[a-z0-9.\-]{{1,253}}[.](?:{domain})(?:/[^\t\n\f\r ()<>\"']*)?)"
 
 
 def credit_card(language: str) -> PatternRecognizer:
@@ -119,10 +135,11 @@ def ip(language: str) -> PatternRecognizer:
 
 
 def url(language: str, domains: Sequence[str] | None = None) -> PatternRecognizer:
-    base = url_base(domains if domains is not None else [*GENERIC_DOMAINS, *country_domains()])
+    tried = domains if domains is not None else DOMAINS
+    base, java = url_base("|".join(tried)), url_base(ordered(tried))
     dotted = lambda t: t.rlike(r"(?iu)[a-z0-9.\-][.][a-z]{2}")
-    standard = Pattern("Standard Url", f"(?i)(?:https?://){base}", 0.6, f"(?iu)(?:https?://){base}", lambda t: t.contains("://") & dotted(t))
-    bare = Pattern("Non schema URL", f"(?i){base}", 0.5, f"(?iu){base}", dotted)
+    standard = Pattern("Standard Url", f"(?i)(?:https?://){base}", 0.6, f"(?iu)(?:https?://){java}", lambda t: t.contains("://") & dotted(t))
+    bare = Pattern("Non schema URL", f"(?i){base}", 0.5, f"(?iu){java}", dotted)
     return PatternRecognizer("UrlRecognizer", "URL", language, (standard, bare), None, ("url", "website", "link"))
 
 

@@ -284,3 +284,14 @@ def test_python_functions(spark):
     assert rows[0].spans[0].score == 0.85
     with pytest.raises(Exception, match="span out of range"):
         result(anonymize_with(text_with(spark, [("A", 5, 99, 0.5)]), {}))
+
+
+def test_every_domain_of_the_reference(spark):
+    """Each of the 667 domains, as the first one listed that fits: the plain alternation in brute force."""
+    assert len(R.DOMAINS) == len(set(R.DOMAINS)) == 667 and R.DOMAINS[:3] == ["com", "edu", "gov"] and R.DOMAINS[-1] == "zw"
+    texts = [f"see https://x1.{x}/p?q or y.{x.upper()}z" for x in R.DOMAINS] + ["a.icu b.fyi c.how d.africa/p e.community f.store"]
+    standard, bare = (re.compile(x.regex) for x in R.url("en").patterns)
+    expected = [sorted((m.start(), m.end(), score) for p, score in ((standard, 0.6), (bare, 0.5)) for m in p.finditer(x)) for x in texts]
+    df = sources.from_strings(spark, texts).select("id", R.url("en").detect(F.col("text")).alias("spans"))
+    assert [sorted((s.start, s.end, s.score) for s in r.spans) for r in df.orderBy("id").collect()] == expected
+    assert [texts[-1][a:b] for a, b, _ in expected[-1]] == ["a.icu", "b.fyi", "c.how", "d.africa/p", "e.com", "f.st"]
