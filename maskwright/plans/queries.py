@@ -24,8 +24,6 @@ from .oracle import VERDICTS, boosted_sql, spans_sql, window_sql
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Domains of the URL queries: a parameter, so that both sides try the same ones.
-DOMAINS = ("com", "org", "net", "info", "fr", "de", "sm")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +59,7 @@ TEXTS: dict[str, tuple[str, str, str]] = {
     "fr_phone": ("orders", "o_orderkey", f"concat('tél 06 ', substr({_N8}, 1, 2), ' ', substr({_N8}, 3, 2), '.', substr({_N8}, 5, 2), '-', substr({_N8}, 7, 2), ', +33 6', {_N8}, ' é06', {_N8})"),
 }
 _MAKERS: dict[str, R.PatternRecognizer] = {
-    "credit_card": R.credit_card("en"), "email": R.email("en"), "iban": R.iban("en"), "ip": R.ip("en"), "url": R.url("en", DOMAINS), "mac": R.mac("en"),
+    "credit_card": R.credit_card("en"), "email": R.email("en"), "iban": R.iban("en"), "ip": R.ip("en"), "url": R.url("en"), "mac": R.mac("en"),
     "us_ssn": R.us_ssn(), "us_itin": R.us_itin(), "us_passport": R.us_passport(), "us_license": R.us_license(), "us_bank": R.us_bank(), "us_aba": R.us_aba(), "us_npi": R.us_npi(), "us_mbi": R.us_mbi(), "medical_license": R.medical_license(),
     "fr_nir": R.fr_nir(), "fr_siren": R.fr_siren(), "fr_siret": R.fr_siret(), "fr_plate": R.fr_plate(), "fr_phone": R.fr_phone(),
 }
@@ -98,7 +96,7 @@ for _name, _recognizer in _MAKERS.items():
     )
 
 _DOCUMENTS = "SELECT doc_id AS id, text FROM documents"
-_EMAIL, _IP, _URL = R.email("en"), R.ip("en"), R.url("en", DOMAINS)
+_EMAIL, _IP, _URL = R.email("en"), R.ip("en"), R.url("en")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +303,9 @@ def recognize_crypto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(R.crypto("en"), df)
 
 
-@_register("supported_entities", "SELECT * FROM (VALUES " + ", ".join(f"('{code}', {i}, '{e}')" for code in ("en", "fr") for i, e in enumerate(default_registry("en", "fr", domains=DOMAINS).supported_entities(code))) + ") t(language, place, entity_type)")
+@_register("supported_entities", "SELECT * FROM (VALUES " + ", ".join(f"('{code}', {i}, '{e}')" for code in ("en", "fr") for i, e in enumerate(default_registry("en", "fr").supported_entities(code))) + ") t(language, place, entity_type)")
 def supported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = default_registry("en", "fr", domains=DOMAINS)
+    registry = default_registry("en", "fr")
     return spark.createDataFrame([(c, i, e) for c in ("en", "fr") for i, e in enumerate(registry.supported_entities(c))], "language string, place int, entity_type string")
 
 
@@ -320,20 +318,20 @@ def language_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("entity_selection", f"SELECT id, entity_type, start, \"end\", score FROM ({spans_sql(texts_sql('us_bank'), _MAKERS['us_bank'])}) z")
 def entity_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = Analyzer(default_registry("en", domains=DOMAINS), enhancer=None).analyze(texts(spark, sf_dir, "us_bank"), entities=["US_BANK_NUMBER"])
+    done = Analyzer(default_registry("en"), enhancer=None).analyze(texts(spark, sf_dir, "us_bank"), entities=["US_BANK_NUMBER"])
     return span_rows(done, keep=["id"]).select("id", "s.entity_type", "s.start", "s.end", "s.score")
 
 
 @_register("analyze_documents")
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recognizer of each document's language over all documents."""
-    done = Analyzer(default_registry("en", "fr", "de", "es", domains=DOMAINS)).analyze(_documents(spark, sf_dir), language=F.col("lang"))
+    done = Analyzer(default_registry("en", "fr", "de", "es")).analyze(_documents(spark, sf_dir), language=F.col("lang"))
     return explode_spans(done, keep=["id"])
 
 
 @_register("anonymize_documents")
 def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = Analyzer(default_registry("en", "fr", "de", "es", domains=DOMAINS)).analyze(_documents(spark, sf_dir), language=F.col("lang"), min_score=0.4)
+    done = Analyzer(default_registry("en", "fr", "de", "es")).analyze(_documents(spark, sf_dir), language=F.col("lang"), min_score=0.4)
     return A.anonymize(done).select("id", F.col("anonymized.text").alias("text"), F.size("anonymized.items").alias("n_items"))
 
 

@@ -295,3 +295,18 @@ def test_every_domain_of_the_reference(spark):
     df = sources.from_strings(spark, texts).select("id", R.url("en").detect(F.col("text")).alias("spans"))
     assert [sorted((s.start, s.end, s.score) for s in r.spans) for r in df.orderBy("id").collect()] == expected
     assert [texts[-1][a:b] for a, b, _ in expected[-1]] == ["a.icu", "b.fyi", "c.how", "d.africa/p", "e.com", "f.st"]
+
+
+def test_url_queries_try_every_domain(spark, small, tmp_path):
+    """The URL queries over tables of other domains than .com, in brute force and rewritten."""
+    from maskwright.plans import queries as plans
+
+    urls = ["https://x.io/a", "site.edu", "agency.gov", "shop.co.uk", "host.es", "http://a.icu:80/q"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, f"see {x} now", "en") for i, x in enumerate(urls)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.id, r.start, r.end, r.score) for r in plans.QUERIES["detect_url_pages"](spark, str(tmp_path)).collect())
+    assert found == sorted((i, m.start(), m.end(), p.score) for i, x in enumerate(urls) for p in R.url("en").patterns for m in re.finditer(p.regex, x))
+    assert {i for i, *_ in found} == set(range(len(urls)))
+    assert {r.id for r in plans.QUERIES["analyze_documents"](spark, str(tmp_path)).where("entity_type = 'URL'").collect()} == set(range(len(urls)))
+    texts = [r.text for r in plans.QUERIES["anonymize_documents"](spark, str(tmp_path)).orderBy("id").collect()]
+    assert texts == [*["see <URL> now"] * 5, "see <URL>:80/q now"]
