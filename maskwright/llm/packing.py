@@ -78,28 +78,30 @@ def layout(counts: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray]
     return {k: np.array(v, np.int64) for k, v in rows.items()}, windows
 
 
-def tokenizer_of(path: str, pattern: str) -> tuple[str, dict[bytes, int]]:
-    """Ranks of a byte-level tokenizer file: its vocabulary's ids follow the order of its merges."""
+def tokenizer_of(path: str, pattern: str) -> tuple[str, dict[bytes, int], dict[str, int]]:
+    """Ranks of a byte-level tokenizer file, its vocabulary's ids following the order of its merges; and its added tokens."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model = file["model"]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     merged = {a + b for a, b in (x.split(" ") if isinstance(x, str) else x for x in model["merges"])}
-    return pattern, {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if len(token) == 1 or token in merged}
+    added = {x["content"]: x["id"] for x in file.get("added_tokens") or []}
+    return pattern, {bytes(byte_of[c] for c in token): rank for token, rank in model["vocab"].items() if token not in added and (len(token) == 1 or token in merged)}, added
 
 
 def _cut(shared, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, ranks = shared.value
-        encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        pattern, ranks, added = shared.value
+        encoding = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             texts, doc_ids = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for a, b in slices([len(x) for x in texts], BLOCK_CHARS):
                 out: list[list] = [[] for _ in range(8)]
                 for doc_id, text in zip(doc_ids[a:b], texts[a:b], strict=True):
-                    ids = np.append(encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4"), np.array([end_id], "<u4"))
+                    ids = np.append(encoding.encode_to_numpy(text, allowed_special="all").astype("<u4"), np.array([end_id], "<u4"))
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
                         row = (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, seen[len(piece)], piece.astype(np.int32) if with_ids else None)

@@ -150,6 +150,19 @@ def test_packing(spark, small):
     assert padding < 0.1 * rows.length.sum()
 
 
+def test_packing_of_texts_with_the_marker(spark):
+    """Added tokens are found within plain text, as the tokenizer itself finds them."""
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y<|endoftext|><|endoftext|>\n z", "<|endoftext|", "été<|endoftext|> 😀  <|endoftext|>  ", "w " * 1500 + "<|endoftext|>" + " v" * 900]
+    rows = packing.pack(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=True).toPandas()
+    for doc_id, own in rows.groupby("doc_id"):
+        ids = [*tokenizer.encode(texts[doc_id], add_special_tokens=False).ids, 0]
+        own = own.sort_values("start")
+        assert [x for piece in own.ids for x in piece] == ids and set(own.doc_tokens) == {len(ids)}
+        assert [zlib.crc32(np.array(ids[s : s + 1024], "<u4").tobytes()) for s in own.start] == list(own.ids_crc32)
+
+
 def test_packing_small_cases(spark):
     df = documents(spark, ["a", "a", "a", None])
     rows = packing.pack_documents(df.union(df)).collect()
