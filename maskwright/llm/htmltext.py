@@ -3,8 +3,9 @@
 A page becomes a row of items: tags, which score below zero, and runs of words, which score above zero
 for each word; the weights are log odds counted on labelled pages. One linear scan finds the contiguous
 run of items with the highest sum. Of that region the text is kept, without what stands in elements
-that are never part of an article (menus, forms, scripts, adverts, comments and their like): their
-words score nothing, so they neither draw the region in nor cut it in two.
+that are never part of an article (menus, forms, scripts, hidden ones) or that hold few words and are
+named as adverts, comments and their like: their words score nothing, so they neither draw the region
+in nor cut it in two.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "svg", "canvas", "audio", "video", "map", "label", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in a class, id or role that mark an element as no part of an article.
+#: Words in a class, id or role that hint at an element that is no part of an article.
 _NOISE = set(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners "
     "nav navbar navigation menu menus breadcrumb breadcrumbs topbar header masthead footer sidebar sidebars aside widget widgets "
@@ -39,39 +40,119 @@ _NOISE = set(
 )
 _PIECE = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _KEPT_CLASSES = {"html", "body", "main", "article"}
+#: What follows one of these in a class or id says nothing about the element itself.
+_MODIFIERS = {"has", "with", "without", "no", "not"}
+#: Elements whose ids name what they say.
+_ANCHORED = {"p", "section"}
+#: A hint alone masks at most this many words, or, beside articles, fewer than they have.
+FEW_WORDS = 25
 
 
-def _noisy(name: str, attributes: str, inside_article: bool) -> bool:
+def _hinted(name: str, value: str, inside_article: bool) -> bool:
+    if name in _HEADINGS:
+        return False
+    for word in value.split():
+        found = set()
+        for piece in (x.lower() for x in _PIECE.split(word) if x):
+            if piece in _MODIFIERS:
+                break
+            found.add(piece)
+        found &= _NOISE
+        if found and not (inside_article and found == {"header"}):
+            return True
+    return False
+
+
+def _noisy(name: str, attributes: str, inside_article: bool) -> tuple[bool, set[str]]:
+    """Whether an element is never part of an article; which of its class, id and role hint at that by a word."""
+    hinted: set[str] = set()
     if name in _NEVER or name == "header" and not inside_article:
-        return True
+        return True, hinted
     if not attributes or name in _KEPT_CLASSES:
-        return False
+        return False, hinted
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            found = _NOISE.intersection(x.lower() for x in _PIECE.split(value) if x)
-            if found and not (inside_article and found == {"header"}):
-                return True
+            if _hinted(name, value, inside_article):
+                hinted.add(key)
         elif key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-    return "hidden" in attributes.lower().split()
+            return True, hinted
+    return "hidden" in attributes.lower().split(), hinted
+
+
+class _Element:
+    __slots__ = ("name", "parent", "masked", "hinted", "inside", "holds", "own", "words")
+
+    def __init__(self, name: str, parent: _Element | None, masked: bool, hinted: set[str]):
+        self.name, self.parent, self.masked, self.hinted = name, parent, masked, hinted
+        #: Whether it stands in an article, or in a main part without one; whether it holds an article or main part.
+        self.inside = self.holds = False
+        self.own = self.words = 0
+
+    def is_article(self) -> bool:
+        return self.name == "article" or self.name == "main" and not self.holds
+
+    def hint_counts(self) -> bool:
+        return bool(self.hinted - {"id"} if self.inside and self.name in _ANCHORED else self.hinted)
+
+
+def _settle(elements: list[_Element]) -> None:
+    """Turn hints into masks where the element holds no article and few words, and hand masks down.
+
+    elements: parents before children. Inner elements are settled before the outer ones that count their
+    words; elements beside articles after all articles.
+    """
+    nested = [e for e in elements if e.parent is not None]
+    for e in nested:
+        e.masked = e.masked or e.parent.masked
+    for e in reversed(nested):
+        e.parent.holds |= e.holds or e.name in ("article", "main") and not e.masked
+    for e in nested:
+        e.inside = e.parent.inside or e.parent.is_article()
+    beside = 0
+    for last in (False, True):
+        for e in elements:
+            e.words = 0 if e.masked else e.own
+        for e in reversed(elements):
+            if not e.masked and not e.holds and (e.inside or last) and (e.words <= FEW_WORDS or not e.inside and e.words < beside) and e.hint_counts():
+                e.masked, e.words = True, 0
+            if e.parent is not None:
+                e.parent.words += e.words
+        beside = sum(e.words for e in elements if e.is_article() and not e.inside)
+    for e in nested:
+        e.masked = e.masked or e.parent.masked
 
 
 def items(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, separates): kind is a tag's name, "word", "link" or "masked"; separates if a block ends there."""
-    stack: list[tuple[str, bool, bool]] = []
-    opened: Counter = Counter()
+    row: list[tuple[str, str, bool, _Element | None]] = []
+    elements: list[_Element] = []
+    stack: list[_Element] = []
+    # Places in the stack of open elements, by name.
+    places: defaultdict[str, list[int]] = defaultdict(list)
     masked = links = place = 0
     n = len(page)
+
+    def pop() -> None:
+        nonlocal masked
+        last = stack.pop()
+        places[last.name].pop()
+        masked -= last.masked
+
     while place <= n:
         m = _MARKUP.search(page, place)
         start = m.start() if m else n
+        top = stack[-1] if stack else None
         if start > place:
-            headed = opened["header"] and not any(opened[x] for x in _HEADINGS)
-            yield ("masked" if masked or headed else "link" if links else "word"), page[place:start], False
+            text = page[place:start]
+            headed = places["header"] and not any(places[x] for x in _HEADINGS)
+            kind = "masked" if masked or headed else "link" if links else "word"
+            row.append((kind, text, False, top))
+            if top and kind == "word":
+                top.own += len(text.split())
         if not m:
-            return
+            break
         place = m.end()
         if m[2] is None:
             continue
@@ -80,34 +161,36 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
             if not closing and not m[0].endswith("/>"):
                 end = _RAW_END[name].search(page, place)
                 place = end.end() if end else n
-            yield "masked" if masked else name, "", True
+            row.append((name, "", True, top))
             continue
         separates = name not in _INLINE
         if name == "a":
             links = 0 if closing else 1
-        kind = "masked" if masked else ("/" if closing else "") + name
         if name in _VOID or not closing and name in _INLINE and "=" not in m[3]:
-            yield kind, "", separates
+            row.append((name if not closing else "/" + name, "", separates, top))
             continue
         if not closing:
-            bad = _noisy(name, m[3], opened["article"] > 0 or opened["main"] > 0)
-            yield "masked" if bad else kind, "", separates
-            if name in _INLINE and not bad:
+            bad, hinted = _noisy(name, m[3], bool(places["article"] or places["main"]))
+            if name in _INLINE and not bad and not hinted:
+                row.append((name, "", separates, top))
                 continue
-            stack.append((name, bad, name in _INLINE))
-            opened[name] += 1
+            top = _Element(name, top, bad, hinted)
+            row.append((name, "", separates, top))
+            elements.append(top)
+            places[name].append(len(stack))
+            stack.append(top)
             masked += bad
             continue
-        yield kind, "", separates
-        if opened[name]:
-            while True:
-                last, bad, _ = stack.pop()
-                opened[last] -= 1
-                masked -= bad
-                if last == name:
-                    break
+        row.append(("/" + name, "", separates, top))
+        if places[name]:
+            to = places[name][-1]
+            while len(stack) > to:
+                pop()
         if place >= n:
-            return
+            break
+    _settle(elements)
+    for kind, text, separates, element in row:
+        yield ("masked" if element and element.masked else kind), text, separates
 
 
 def _kinds(page: str) -> Iterator[tuple[str, int]]:

@@ -34,6 +34,24 @@ def test_headers_within_articles_and_hidden_parts():
     assert htmltext.main_text(page) == "Big title of this page Words of the article go here and on."
 
 
+@pytest.mark.parametrize("wrapper", ['class="site-content has-sidebar"', 'id="content-with-sidebar"', 'class="no-comments"', 'class="page-sidebar"', 'role="search"'])
+def test_hints_do_not_empty_wrappers(wrapper):
+    words = " ".join(f"word{i}" for i in range(60))
+    assert htmltext.main_text(f"<body><div {wrapper}><p>{words}</p></div></body>") == words
+    assert htmltext.main_text(f"<body><div {wrapper}><article><p>short one</p></article></div></body>") == "short one"
+
+
+def test_hints_within_articles():
+    words = " ".join(f"word{i}" for i in range(60))
+    page = f'<article><h2 id="related-work">Related work</h2><p>{words}</p><section id="discussion"><h2 id="how-to-register">How to register</h2><p id="comment-on-results">{words}</p></section><div class="ad">Buy now</div><p class="share"><a href="x">Share</a> this</p></article>'
+    assert htmltext.main_text(page) == f"Related work {words} How to register {words}"
+
+
+def test_long_comments_beside_an_article():
+    words = " ".join(f"word{i}" for i in range(200))
+    assert htmltext.main_text(f'<body><article><p>{words}</p></article><div class="comments"><p>{"and so on " * 50}</p></div></body>') == words
+
+
 def test_weights_have_their_signs():
     assert htmltext.WEIGHTS["word"] > 0 and all(v <= 0 for k, v in htmltext.WEIGHTS.items() if k != "word")
 
