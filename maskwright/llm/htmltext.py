@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -47,6 +48,20 @@ _ANCHORED = {"p", "section"}
 #: A hint alone masks at most this many words, or, beside articles, fewer than they have.
 FEW_WORDS = 25
 
+# Open elements that a tag closes, and those beyond which it does not look for them.
+_ROWS = {"tr", "td", "th"}
+_PARTS = {"thead", "tbody", "tfoot", "caption", "colgroup"}
+_CELL_END, _ITEM_END = {"table"}, (_NEVER | _PARTS | _ROWS | _HEADINGS | {"article", "blockquote", "body", "center", "dd", "details", "dl", "dt", "figure", "header", "html", "li", "main", "ol", "section", "table", "ul"})
+_P_END = {"html", "table", "td", "th", "caption", "object", "button"}
+_CLOSES: dict[str, tuple[set[str], set[str]]] = dict.fromkeys(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split(), ({"p"}, _P_END)
+) | {"dd": ({"p"}, _P_END), "dt": ({"p"}, _P_END)}
+_CLOSES_FIRST: dict[str, tuple[set[str], set[str]]] = {
+    "li": ({"li"}, _ITEM_END - {"li"}), "dd": ({"dd", "dt"}, _ITEM_END - {"dd", "dt"}), "dt": ({"dd", "dt"}, _ITEM_END - {"dd", "dt"}),
+    "td": ({"td", "th"}, _CELL_END), "th": ({"td", "th"}, _CELL_END), "tr": (_ROWS | {"caption", "colgroup"}, _CELL_END), **dict.fromkeys(_PARTS, (_ROWS | _PARTS, _CELL_END)),
+    "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+}
+
 
 def _hinted(name: str, value: str, inside_article: bool) -> bool:
     if name in _HEADINGS:
@@ -140,6 +155,12 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
         places[last.name].pop()
         masked -= last.masked
 
+    def close(names: set[str], bounds: set[str]) -> None:
+        bound = max((places[x][-1] for x in bounds if places[x]), default=-1)
+        to = min((places[x][bisect_right(places[x], bound)] for x in names if places[x] and places[x][-1] > bound), default=len(stack))
+        while len(stack) > to:
+            pop()
+
     while place <= n:
         m = _MARKUP.search(page, place)
         start = m.start() if m else n
@@ -166,6 +187,11 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
         separates = name not in _INLINE
         if name == "a":
             links = 0 if closing else 1
+        if not closing:
+            for closes in (_CLOSES_FIRST, _CLOSES):
+                if name in closes:
+                    close(*closes[name])
+            top = stack[-1] if stack else None
         if name in _VOID or not closing and name in _INLINE and "=" not in m[3]:
             row.append((name if not closing else "/" + name, "", separates, top))
             continue

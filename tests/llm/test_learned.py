@@ -52,6 +52,24 @@ def test_long_comments_beside_an_article():
     assert htmltext.main_text(f'<body><article><p>{words}</p></article><div class="comments"><p>{"and so on " * 50}</p></div></body>') == words
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div><p class="notice">We use cookies<p>Article words here<p>More words</div>', "Article words here More words"),
+        ('<table><tr><td class="sidebar">menu<td>article words</table>', "article words"),
+        ('<table><tr class="menu"><td>menu<tr><td>article words</table>', "article words"),
+        ('<ul><li class="ad">buy<li>first item<ul><li class="promo">deal<li>inner item</ul><li>last item</ul>', "first item inner item last item"),
+        ('<dl><dt class="ad">buy<dd>meaning of it<dt>term', "meaning of it term"),
+        ('<form><select><option>a<option>b</select></form><p>article words', "article words"),
+        ('<p class="notice">We use<div>article words</div>', "article words"),
+        ('<p class="notice">We <span class="ad">use<table><tr><td>article words</table>', "article words"),
+        ('<ul><li class="ad">buy<ul><li>inner</ul>still ad</ul><p>article words', "article words"),
+    ],
+)
+def test_end_tags_left_out(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_weights_have_their_signs():
     assert htmltext.WEIGHTS["word"] > 0 and all(v <= 0 for k, v in htmltext.WEIGHTS.items() if k != "word")
 
