@@ -31,9 +31,11 @@ _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora|Se
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _GIVEN = "|".join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}"
 _KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_-]{0,64}\d)[A-Za-z0-9+/_-]{8,128}+[\"']?"
+_VALUE = r"[A-Za-z0-9+/_.=~-]{8,}(?<!\.)"
+#: Of any length, with a digit anywhere; addresses are left to their own patterns.
+_SECRET = rf"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[A-Za-z+/_.=~-]*+\d)(?![A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,8}}[A-Za-z]{{2}}|(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9+/_=~-]|\.[A-Za-z0-9])){_VALUE}[\"']?"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){3,7}(?: \d{1,4})?)(?![A-Za-z0-9])"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -61,7 +63,7 @@ def kind_of(hit: Column) -> Column:
 
 
 def _secret_value(hit: Column) -> Column:
-    return F.regexp_extract(hit, r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,128})", 1)
+    return F.regexp_extract(hit, rf"^[^=:]*[=:]\s{{0,3}}[\"']?({_VALUE})", 1)
 
 
 def _normal(kind: Column, value: Column) -> Column:

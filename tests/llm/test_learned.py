@@ -202,6 +202,20 @@ def test_surrogates(spark):
     assert rewritten(spark, PRIVATE)[0].text == a
 
 
+def test_secrets_of_any_length(spark):
+    long, late = "a1B2c3D4" * 25, "q" * 100 + "7x"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    texts = [f'token = "{long}" end', f"token={jwt}. Next", f"secret: {late}, end", "api_key=YWJjZDEyMzQ1Njc4OQ==~x.9z", f"mail {'b' * 80}.x7@mail8.example.com", "password: john.smith42@mail.example.com and 42.144.35.254", "token: 42.144.35.254.", f"again {'token=' * 3}{long}"]
+    rows = rewritten(spark, texts)
+    for i, old in enumerate((long[:8], "eyJ", "qqqq", "YWJj", "bbbb", "john.smith42", "42.144", long[:8])):
+        assert old not in rows[i].text and rows[i].n_entities == (2 if i == 5 else 1), i
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", x)))
+    assert all(shape(rows[i].text) == shape(texts[i]) for i in (0, 1, 2, 3, 7)) and long[-8:] not in rows[0].text and jwt[-8:] not in rows[1].text
+    assert rows[2].text[:8] == "secret: " and rows[2].text.endswith(", end") and "mail.example.com" not in rows[5].text
+    mention = rewritten(spark, [f"token={jwt}", f"token={jwt}. Next", "token=" + "z9" * 20000])
+    assert mention[1].text == mention[0].text + ". Next" and "z9z9z9" not in mention[2].text
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With surrogates from a domain of 16, the check has to draw again."""
     drawn = surrogates._drawn
