@@ -41,7 +41,10 @@ _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d.-])0[1-9](?:[ .-]\d{2}){4}(?![\d-])"
-_PERSON = rf"(?<![\p{{L}}\d])(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})"
+_PARTICLES = "von|van|vom|zu|zum|zur|de|der|den|del|della|di|da|do|dos|das|du|des|la|le|el|al|bin|ibn|ben|ter|ten"
+#: A name with the initials and particles before it; runs are possessive, so that none is too long for the stack.
+_PART = rf"(?:\p{{Lu}}\.? |(?:{_PARTICLES}) )*+{_NAME}"
+_PERSON = rf"(?<![\p{{L}}\d])(?:(?:{_TITLES})\.? {_PART}(?: {_PART})*+|(?:{_GIVEN})(?: {_PART})++)"
 PATTERN = "|".join([_EMAIL, _KEY, _SECRET, _IBAN, _IP, _SSN, _CARD, _PHONE, _PERSON])
 #: What a text must hold for any of these to be found in it.
 _GATE = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES}|{_GIVEN})(?!\p{{L}})"
@@ -79,10 +82,10 @@ def _let(value: Column, use) -> Column:
 def pieces_of(hit: Column) -> Column:
     """A hit as (kind, value) pieces in order: those of kind KEEP stay, the others get surrogates.
 
-    Of a person, titles stay and each name is a piece; of a secret, all but the value stays.
+    Of a person, titles and particles stay, each name and each initial is a piece; of a secret, all but the value stays.
     """
     piece = lambda kind, value: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
-    words = lambda hit: F.transform(F.split(hit, " "), lambda x: piece(F.when(x.rlike(rf"^(?:{_TITLES})\.?$"), "KEEP").otherwise("NAME"), x))
+    words = lambda hit: F.transform(F.split(hit, " "), lambda x: piece(F.when(x.rlike(rf"^(?:(?:{_TITLES})\.?|{_PARTICLES})$"), "KEEP").when(x.rlike(r"^\p{Lu}\.?$"), "INITIAL").otherwise("NAME"), x))
     secret = lambda hit: _let(_secret_value(hit), lambda x: F.array(piece("KEEP", F.substring(hit, F.lit(1), F.instr(hit, x) - 1)), piece("SECRET", x), piece("KEEP", F.substring(hit, F.instr(hit, x) + F.length(x), F.length(hit)))))
     return _let(F.struct(hit.alias("hit"), kind_of(hit).alias("kind")), lambda x: F.when(x["kind"] == "PERSON", words(x["hit"])).when(x["kind"] == "SECRET", secret(x["hit"])).otherwise(F.array(piece(x["kind"], x["hit"]))))
 
@@ -176,14 +179,14 @@ def _drawn(kind: Column, value: Column, normal: Column, digest: Column, key: str
         .when(kind.isin("KEY", "IBAN"), F.substring(normal, F.lit(5), F.length(normal)))
         .when(kind == "CARD", F.substring(normal, F.lit(2), F.length(normal) - 2))
         .when(kind == "PHONE", F.regexp_replace(shape, r"\D", ""))
-        .when(kind.isin("SECRET", "SSN"), normal)
+        .when(kind.isin("SECRET", "SSN", "INITIAL"), normal)
         .otherwise("")
     )
     host = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("DOMAIN"), F.lower(F.substring_index(value, "@", -1))), 256)
     finished = lambda x: (
         F.when(kind == "EMAIL", F.concat(x, F.lit("@m"), F.substring(host, 1, 10), F.lit(".example.com")))
         .when(kind == "KEY", F.concat(F.substring(value, 1, 4), x))
-        .when(kind == "SECRET", x)
+        .when(kind.isin("SECRET", "INITIAL"), x)
         .when(kind == "IP", F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .when(kind == "IBAN", _let(_iban(x, normal), lambda y: F.when(value.contains(" "), F.trim(F.regexp_replace(y, "(.{4})", "$1 "))).otherwise(y)))
         .when(kind.isin("CARD", "SSN", "PHONE"), F.concat(country, _relay(shape, F.when(kind == "CARD", _card(F.substring(normal, 1, 1), x, normal, digest)).otherwise(x))))
@@ -202,6 +205,20 @@ def hits_of(text: Column) -> Column:
     return F.when(text.rlike(_GATE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _names_of(hits: Column) -> Column:
+    """The names among hits, initials left out."""
+    pieces = F.flatten(F.transform(F.filter(hits, lambda x: kind_of(x) == "PERSON"), pieces_of))
+    return F.array_distinct(F.transform(F.filter(pieces, lambda x: x["kind"] == "NAME"), lambda x: x["value"]))
+
+
+def _lone(gap: Column, names: Column, key: str, attempt) -> Column:
+    """What stands between hits, with names found elsewhere in the text replaced as there."""
+    word = rf"(?<![\p{{L}}\d]){_NAME}"
+    swap = lambda x: _name(x, _digest(key, F.lit("NAME"), F.lower(x), attempt(F.lit("NAME"), F.lower(x))), key)
+    pairs = F.arrays_zip(F.split(gap, word, -1).alias("gap"), F.regexp_extract_all(gap, F.lit(word), F.lit(0)).alias("word"))
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["word"].isNull(), "").when(F.array_contains(names, x["word"]), swap(x["word"])).otherwise(x["word"]))), "")
+
+
 def settle(values: DataFrame, key: str) -> DataFrame:
     """(kind, normal, attempt > 0) of the values whose first surrogate was taken; usually none.
 
@@ -236,8 +253,9 @@ def pseudonymize(df: DataFrame, key: str = "maskwright", id_col: str = "doc_id")
     named like helpers here stay untouched; an n_entities column of df is replaced.
     """
     rows = df.select(F.struct(*(df[x] for x in df.columns)).alias("row"), df["text"].alias("text"), hits_of(df["text"]).alias("hits"))
+    rows = rows.withColumn("names", F.when(F.size("hits") > 0, _names_of(F.col("hits"))).otherwise(F.array().cast("array<string>")))
     found = df.select(F.explode(F.array_distinct(hits_of(df["text"]))).alias("hit")).distinct()
-    values = found.select(F.explode(pieces_of(F.col("hit"))).alias("x")).select("x.*").where(F.col("kind") != "KEEP")
+    values = found.select(F.explode(pieces_of(F.col("hit"))).alias("x")).select("x.*").where(~F.col("kind").isin("KEEP", "INITIAL"))
     values = values.withColumn("normal", _normal(F.col("kind"), F.col("value"))).groupBy("kind", "normal").agg(F.min("value").alias("value"))
     redrawn = settle(values, key)
     if redrawn.isEmpty():
@@ -249,7 +267,8 @@ def pseudonymize(df: DataFrame, key: str = "maskwright", id_col: str = "doc_id")
         rows = rows.withColumn("t", F.xxhash64("text")).join(by_text, "t", "left")
         attempt = lambda kind, normal: F.coalesce(F.try_element_at(F.col("again"), F.concat_ws(" ", kind, normal)), F.lit(0))
     gaps = F.split(F.col("text"), PATTERN, -1)
-    whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("hits").alias("hit")), lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(_replace(x["hit"], key, attempt)))), "")
+    between = lambda gap: F.when(F.size("names") > 0, _lone(gap, F.col("names"), key, attempt)).otherwise(gap)
+    whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("hits").alias("hit")), lambda x: F.concat(between(x["gap"]), F.when(x["hit"].isNull(), "").otherwise(_replace(x["hit"], key, attempt)))), "")
     text = F.when(F.size("hits") > 0, whole).otherwise(F.col("text"))
     names = [x for x in df.columns if x != "n_entities"]
     return rows.select(*(text.alias(x) if x == "text" else F.col("row")[x].alias(x) for x in names), F.coalesce(F.greatest(F.size("hits"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"))

@@ -216,6 +216,22 @@ def test_secrets_of_any_length(spark):
     assert mention[1].text == mention[0].text + ". Next" and "z9z9z9" not in mention[2].text
 
 
+def test_names_of_many_words(spark):
+    texts = [
+        "Dr. Anna Maria Schmidt came. Schmidt left; Schmidtchen stayed.", "Anna Maria Schmidt came", "then Mary J. Smith spoke", "Mrs Elizabeth Warren spoke. Later Warren sat down.",
+        "Herr Ludwig van der Rohe and Mr. J. R. Tolkien Baggins", "Mr. " + "Abc Def " * 20000 + "end.",
+    ]
+    rows = rewritten(spark, texts)
+    for i, old in enumerate(("Schmidt ", "Schmidt", "Smith", "Warren", "Rohe", "Abc")):
+        assert old not in rows[i].text, i
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) came\. (\w+) left; Schmidtchen stayed\.", rows[0].text)
+    assert m[3] == m[4] and m[1] in surrogates.FEMALE and rows[1].text == f"{m[1]} {m[2]} {m[3]} came"
+    assert re.fullmatch(r"then [A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+ spoke", rows[2].text)
+    m = re.fullmatch(r"Mrs (\w+) (\w+) spoke\. Later (\w+) sat down\.", rows[3].text)
+    assert m[2] == m[3] != m[1]
+    assert re.fullmatch(r"Herr \w+ van der \w+ and Mr\. [A-Z]\. [A-Z]\. \w+ \w+", rows[4].text) and "Baggins" not in rows[4].text
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With surrogates from a domain of 16, the check has to draw again."""
     drawn = surrogates._drawn
