@@ -68,6 +68,39 @@ def test_suffix_dedup_of_a_passage_in_distinct_surroundings(spark):
     assert [[tuple(x) for x in r.spans] for r in rows] == suffixdedup.brute_force(texts, 40)
 
 
+def test_suffix_dedup_keeps_the_rest_as_text(spark):
+    texts = ["é" * 30 + "tail", "É" + "é" * 29 + "end", "alone", None]
+    rows = suffixdedup.dedup(documents(spark, texts), 20).orderBy("doc_id").collect()
+    for row, text, spans in zip(rows, texts, suffixdedup.brute_force(texts, 20), strict=True):
+        raw = (text or "").encode()
+        rest = b"".join(raw[b:a] for b, a in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(raw)], strict=True))
+        assert row.text == rest.decode(errors="ignore") and row.kept_sha256 == hashlib.sha256(rest).hexdigest()
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(97, 107, 700_000, dtype=np.uint8)).decode()
+    texts = [long, long[100_000:100_400] + "x", "x" + long[:399], "z" * 300_000, long[-400:]]
+    rows = suffixdedup.dedup(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [[tuple(x) for x in r.spans] for r in rows] == [[(100_000, 100_400), (699_600, 700_000)], [(0, 400)], [], [(0, 300_000)], [(0, 400)]]
+
+
+def test_suffix_index_takes_batches(spark, tmp_path):
+    texts = repetitive(3, 90)
+    docs, path = documents(spark, texts), f"file://{tmp_path}/index"
+    index = suffixdedup.Index(spark, path, 40)
+    assert index.clean().count() == 0
+    for k in range(5):
+        index.add(docs.where(docs.doc_id % 5 == k))
+    index = suffixdedup.Index(spark, path, 40)
+    index.add(docs.where("false"))
+    assert len(index.levels) <= 4
+    rows = index.clean().orderBy("doc_id").collect()
+    assert [[tuple(x) for x in r.spans] for r in rows] == suffixdedup.brute_force(texts, 40)
+    with pytest.raises(ValueError):
+        suffixdedup.Index(spark, path, 41)
+
+
 def test_suffix_family_levels():
     rng = random.Random(2)
     make = lambda: bytes(rng.choice(b"ab") for _ in range(12))
