@@ -1,11 +1,14 @@
 """Operators whose results are held against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 
@@ -272,6 +275,37 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(df.where("vec_id in (0, 7)").union(df.where("vec_id in (0, 7)")), 3).count() == 2
 
 
+def test_topk_of_large_components_is_exact(spark):
+    big = [0.5, 1e14, -1e14, 1e300, -3.7e18, 2.0**40, 1e-9, 123456.789, 8.9e15]
+    rng = random.Random(8)
+    vectors = [[rng.choice(big) if rng.random() < 0.3 else rng.uniform(-2, 2) for _ in range(6)] for _ in range(60)] + [[0.25, -0.5], []]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, q long, block int")
+    whole = [[math.floor(Fraction(x) * 1024) for x in v] for v in vectors]
+    clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+    score = lambda a, b: clamp(sum(x * y for x, y in zip(a, b, strict=False)))
+    want = {}
+    for i in range(0, len(vectors), 5):
+        ranked = sorted((-score(whole[i], whole[j]), j) for j in range(len(vectors)) if j != i)[:7]
+        want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(ranked)}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, 7, every=5, query_block=4, chunk=9).collect()}
+    assert got == want
+
+
+def test_topk_of_many_queries_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(20_000, 4))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": vectors.tolist()}))
+    got = topk.top_k(df, 2, every=1, query_block=1500, chunk=6000).toPandas()
+    assert len(got) == 40_000
+    whole = np.floor(vectors * 1024)
+    for q in range(0, 20_000, 997):
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(20_000), -scores))[:2]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == best.tolist() and own.score.tolist() == scores[best].astype(int).tolist()
+
+
 def test_branch_and_bound_is_exact():
     rng = np.random.default_rng(4)
     data = np.floor(rng.normal(size=(500, 40)) * 100)
