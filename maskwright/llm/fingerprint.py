@@ -12,6 +12,7 @@ this part is a sum of the same kind, and the distance of two sums estimates how
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,30 +121,59 @@ def _rank(x: Column, cuts: list[int]) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve, lambda s: s["low"])
 
 
+class _Order:
+    """Rows (doc_id, h, ...) in buckets by descending doc_id, nulls last, and ascending h, the text's hash.
+
+    Ids are cut at their quantiles. An id that several quantiles fall on, and rows without an id, get that
+    many buckets, cut by h; so no bucket is filled by one id, and no window spans the table.
+    """
+
+    def __init__(self, df: DataFrame, buckets: int):
+        shares = [str(i / buckets) for i in range(1, buckets)] or ["0.5"]
+        found = df.select(F.expr(f"approx_percentile(doc_id, array({', '.join(shares)}), 10000)"), F.count(F.lit(1)), F.count("doc_id")).collect()[0]
+        weights = Counter(found[0] or [] if buckets > 1 else [])
+        self.cuts, self.buckets, self.opens, self.equals = sorted(weights), 0, [], []
+        for value in [*reversed(self.cuts), None]:
+            self.opens.insert(0, self._take(1))
+            parts = weights[value] if value is not None and weights[value] > 1 else 0
+            self.equals.insert(0, {"id": value, "at": self._take(parts), "parts": parts})
+        self.nulls = -(-buckets * (found[1] - found[2]) // found[1]) if found[1] else 0
+        self.null_at = self._take(self.nulls)
+
+    def _take(self, n: int) -> int:
+        self.buckets += n
+        return self.buckets - n
+
+    def bucket(self) -> Column:
+        share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+        part = lambda n: F.least(F.floor(share * n), n - 1)
+        rank = _rank(F.col("doc_id"), self.cuts)
+        same = F.get(_constant(self.equals, "array<struct<id:bigint,at:int,parts:int>>"), rank)
+        known = F.when((F.col("doc_id") == same["id"]) & (same["parts"] > 0), same["at"] + part(same["parts"])).otherwise(F.get(_constant(self.opens, "array<int>"), rank))
+        return F.when(F.col("doc_id").isNull(), F.lit(self.null_at) + part(F.lit(max(1, self.nulls)))).otherwise(known).cast("int")
+
+
 def with_next(df: DataFrame, buckets: int) -> DataFrame:
-    """df (doc_id, text) with bucket, place and next_text: the text of the row that follows by descending
-    doc_id, of the first row for the last. Ties go by text; null ids come last.
+    """df (doc_id, text) with bucket, place, ghost and next_text: the text of the row that follows by descending
+    doc_id, of the first row for the last. Ties go by the text's hash, then the text; null ids come last.
 
-    Ids are cut at their quantiles into buckets; the first row of each bucket is also sent to the bucket
-    before it, so one shuffle suffices and no window spans the table.
+    The first row of each bucket is also sent to the bucket before it, where it is a ghost that comes last; so
+    one shuffle suffices.
     """
-    cuts = sorted({x for (xs,) in df.select(F.expr(f"approx_percentile(doc_id, array({', '.join(str(i / buckets) for i in range(1, buckets))}), 10000)")).collect() for x in xs or []}) if buckets > 1 else []
-    # bucket 0 holds the largest ids, the last one rows without an id
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _rank(F.col("doc_id"), cuts))
-    rows = df.select("doc_id", "text", bucket.cast("int").alias("bucket"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    tops = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    df = df.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    order = _Order(df, buckets)
+    rows = df.withColumn("bucket", order.bucket())
+    tops = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("top")).collect()}
     there = sorted(tops)
-    heads: list[dict | None] = [None] * (len(cuts) + 2)
+    heads: list[dict | None] = [None] * order.buckets
     for i, b in enumerate(there):
-        heads[b] = {"top": tops[b], "to": there[i - 1]}
-    mine = F.get(_constant(heads, "array<struct<top:bigint,to:int>>"), F.col("bucket"))
-    ghosts = F.when(F.col("doc_id").eqNullSafe(mine["top"]), mine["to"])
+        heads[b] = {"id": tops[b].doc_id, "h": ~tops[b].h, "to": there[i - 1]}
+    mine = F.get(_constant(heads, "array<struct<id:bigint,h:bigint,to:int>>"), F.col("bucket"))
+    ghosts = F.when(F.col("doc_id").eqNullSafe(mine["id"]) & (F.col("h") == mine["h"]), mine["to"])
     sent = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.struct(ghosts.alias("b"), F.lit(True).alias("ghost"))), lambda x: x["b"].isNotNull())
-    rows = rows.select("doc_id", "text", F.explode(sent).alias("x")).select("doc_id", "text", F.col("x.b").alias("bucket"), "x.ghost")
-    window = Window.partitionBy("bucket").orderBy("ghost", *order)
-    out = rows.repartition(max(buckets, 1), "bucket").select("doc_id", "text", "bucket", "ghost", F.row_number().over(window).alias("place"), F.lead(F.struct("text")).over(window)["text"].alias("next_text"))
-    return out.where(~F.col("ghost")).drop("ghost")
+    rows = rows.select("doc_id", "text", "h", F.explode(sent).alias("x")).select("doc_id", "text", "h", F.col("x.b").alias("bucket"), "x.ghost")
+    window = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h", F.col("text").asc_nulls_first())
+    return rows.repartition(max(buckets, 1), "bucket").select("doc_id", "text", "bucket", "ghost", F.row_number().over(window).alias("place"), F.lead(F.struct("text")).over(window)["text"].alias("next_text"))
 
 
 def compare(df: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -152,14 +182,15 @@ def compare(df: DataFrame, buckets: int | None = None) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of
     the next document's. Null texts count as empty; two texts without any word pair are alike (1.0); rows
     that repeat each give a row; a single row is its own next; an empty table gives no rows. Further
-    columns are ignored.
+    columns are ignored. Each text is hashed once as itself, though it is also some other one's next.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = with_next(docs, buckets or 4 * shuffle_partitions(df.sparkSession))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.withColumn("edited", edited).select("bucket", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
-    found = fingerprints(rows, ["bucket", "place", "doc_id", "n_chars", "edited_sha256"], {"fingerprint": "text", "edited_fingerprint": "edited", "next": "next_text"})
+    edited = F.when(F.col("ghost"), "").otherwise(F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    rows = rows.withColumn("edited", edited).select("bucket", "place", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    found = fingerprints(rows, ["bucket", "place", "ghost", "doc_id", "n_chars", "edited_sha256"], {"fingerprint": "text", "edited_fingerprint": "edited"})
+    found = found.withColumn("next_lanes", F.lead("fingerprint_lanes").over(Window.partitionBy("bucket").orderBy("place"))).where(~F.col("ghost"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint_lanes"), F.col("edited_fingerprint_lanes")).alias("near_edited"), likeness(F.col("fingerprint_lanes"), F.col("next_lanes")).alias("near_next"),

@@ -1,66 +1,95 @@
 """Quality scores by hashed word n-gram logistic regression, trained with follow-the-regularised-leader.
 
-A text becomes tokens: runs of letters and digits, and runs of other visible characters. A token that
-repeats the one before counts as one shared "again" token, and a word all in capitals is preceded by a
-shared "capitals" token. Unigrams and bigrams are hashed into a fixed number of slots, weighted by
-their share of the text, and scored as one sparse dot product.
+A text becomes tokens: runs of letters, marks and digits, and runs of other visible characters. A token that
+repeats the one before counts as one shared "again" token, and a word all in capitals adds a shared
+"capitals" token. Unigrams and bigrams are hashed into a fixed number of slots, weighted by their share of
+the text, and scored as one sparse dot product. Many texts are hashed at once, as arrays of code points.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema, table
+from .common import schema, slices, table
 from .hashing import mix
 
 BITS = 18
-#: At most this many labelled rows, the ones with the smallest hashed ids, are learnt from.
-TRAINING_ROWS = 6_000
+#: At most this many labelled rows, the ones with the smallest hashed ids, are learnt from, so many times.
+TRAINING_ROWS, PASSES = 12_000, 10
 THRESHOLD = 0.3
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+")
+#: Characters of text that are hashed together.
+BLOCK_CHARS = 1 << 19
 _AGAIN, _CAPITALS, _BIGRAM = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9E3779B97F4A7C15
-_remembered: dict[str, int] = {}
-
-
-def _token_hash(token: str) -> int:
-    found = _remembered.get(token)
-    if found is None:
-        if len(_remembered) > 500_000:
-            _remembered.clear()
-        found = 0xCBF29CE484222325
-        for b in token.lower().encode():
-            found = ((found ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        _remembered[token] = found
-    return found
-
-
-def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """The slots of a text's unigrams and bigrams, with repetitions."""
-    tokens = _TOKEN.findall(text or "")
-    if not tokens:
-        return np.zeros(0, np.int64)
-    known = np.fromiter(map(_token_hash, tokens), np.uint64, len(tokens))
-    again = np.zeros(len(known), bool)
-    again[1:] = known[1:] == known[:-1]
+_BASE = 0x9E3779B97F4A7C15
+_SPACE, _WORD, _MARK = 0, 1, 2
+_tables: dict[str, np.ndarray] = {}
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point its kind, its lower case as a hash, and its case: 1 upper, 2 lower or title."""
+    if "kind" not in _tables:
+        kind, lower, case = np.full(0x110000, _MARK, np.uint8), np.arange(0x110000, dtype=np.uint64), np.zeros(0x110000, np.uint8)
+        # No letter, mark, number or space lies outside these.
+        for i in (*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)):
+            c = chr(i)
+            if c.isspace():
+                kind[i] = _SPACE
+            elif unicodedata.category(c)[0] in "LMN":
+                kind[i] = _WORD
+                case[i] = 1 if c.isupper() else 2 if c.islower() or c.istitle() else 0
+                if case[i] == 1 and len(c.lower()) == 1:
+                    lower[i] = ord(c.lower())
+        _tables.update(kind=kind, lower=mix(lower + np.uint64(0x5DEECE66D)), case=case)
+    return _tables["kind"], _tables["lower"], _tables["case"]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if "up" not in _tables or len(_tables["up"]) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            row = np.full(max(n, BLOCK_CHARS), base, np.uint64)
+            row[0] = 1
+            _tables[name] = np.cumprod(row)
+    return _tables["up"], _tables["down"]
+
+
+def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) of all unigrams and bigrams of texts, with repetitions, in no order."""
+    kinds, lower, cases = _characters()
+    texts = [x or "" for x in texts]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[points]
+    first = np.flatnonzero((kind != _SPACE) & (kind != np.concatenate([[_SPACE], kind[:-1]])))
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.searchsorted(np.cumsum(sizes), first, "right")
+    up, down = _powers(len(points))
+    known = mix(np.add.reduceat(np.where(kind == _SPACE, np.uint64(0), lower[points]) * up[: len(points)], first) * down[first])
+    case = cases[points]
+    length = np.add.reduceat((kind != _SPACE).astype(np.int64), first)
+    capitals = (length > 1) & np.logical_or.reduceat(case == 1, first) & ~np.logical_or.reduceat(case == 2, first)
+    beside = owner[1:] == owner[:-1]
+    again = np.concatenate([[False], beside & (known[1:] == known[:-1])])
     known[again] = np.uint64(_AGAIN)
-    capitals = np.fromiter((len(x) > 1 and x.isupper() for x in tokens), bool, len(tokens))
-    unigrams = np.concatenate([known, np.full(int(capitals.sum()), _CAPITALS, np.uint64)])
-    bigrams = mix(known[:-1]) + known[1:] * np.uint64(_BIGRAM)
-    return (mix(np.concatenate([unigrams, bigrams])) >> np.uint64(64 - bits)).astype(np.int64)
+    pairs = (mix(known[:-1]) + known[1:] * np.uint64(_BIGRAM))[beside]
+    found = np.concatenate([known, np.full(int(capitals.sum()), _CAPITALS, np.uint64), pairs])
+    return np.concatenate([owner, owner[capitals], owner[1:][beside]]), (mix(found) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def vector(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots and their values, of Euclidean length 1; none of a text without tokens."""
-    slots, counts = np.unique(features(text, bits), return_counts=True)
-    values = np.sqrt(counts)
-    return slots, values / (np.linalg.norm(values) or 1.0)
+def vectors(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot, value) in order, each slot once: a text's values have Euclidean length 1; one without tokens has none."""
+    owner, slots = features(texts, bits)
+    keys, counts = np.unique(owner << bits | slots, return_counts=True)
+    owner = keys >> bits
+    total = np.bincount(owner, counts, len(texts))
+    return owner, keys & ((1 << bits) - 1), np.sqrt(counts / total[owner])
 
 
 class Ftrl:
@@ -85,30 +114,33 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def passes(rows: int) -> int:
-    """How often training goes over its rows: more often the fewer there are."""
-    return max(5, min(40, 60_000 // max(1, rows)))
-
-
 def train(slots: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> np.ndarray:
     """Weights learnt from sparse rows in a fixed shuffled order; the last is the bias. Without rows, all are 0."""
     model, rng = Ftrl(bits), np.random.Generator(np.random.PCG64(seed))
-    for _ in range(passes(len(labels))):
+    for _ in range(PASSES):
         for i in rng.permutation(len(labels)):
             model.update(slots[i], values[i], labels[i])
     return model.weights().astype(np.float32)
 
 
-def score_text(text: str | None, weights: np.ndarray) -> float:
-    slots, values = vector(text, int(len(weights) - 1).bit_length() - 1)
-    return float(1.0 / (1.0 + np.exp(-np.clip(weights[slots] @ values + weights[-1], -35, 35))))
+def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """The probability of label 1 for each text."""
+    bits, out = int(len(weights) - 1).bit_length() - 1, []
+    for a, b in slices([len(x or "") + 1 for x in texts], BLOCK_CHARS):
+        owner, slots, values = vectors(texts[a:b], bits)
+        out.append(np.bincount(owner, weights[slots] * values, b - a) + weights[-1])
+    return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate([np.zeros(0), *out]), -35, 35)))
 
 
 def _vectors(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [vector(x, bits) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0].astype(np.int32) for x in made], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in made], pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["slots", "x", "label", "place"])
+            texts = batch.column(0).to_pylist()
+            for a, b in slices([len(x or "") + 1 for x in texts], BLOCK_CHARS):
+                owner, slots, values = vectors(texts[a:b], bits)
+                cuts = pa.array(np.searchsorted(owner, np.arange(b - a + 1)), pa.int32())
+                made = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (slots.astype(np.int32), values.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([*made, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["slots", "x", "label", "place"])
 
     return run
 
@@ -120,11 +152,12 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, bits: int = BITS) -> np.ndarray:
     """Train on at most rows labelled texts; without any, every text scores 0.5.
 
-    The chosen ids are broadcast: there are at most rows of them. Their vectors, not their texts, go to the driver.
+    Of a labelled id that several rows bear, the smallest text is learnt from. The chosen ids are broadcast:
+    there are at most rows of them. Their vectors, not their texts, go to the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("double").alias("label"))
     known = known.where(~held_out(F.col("id"))).withColumn("place", F.xxhash64("id", F.lit(11))).orderBy("place", "id").limit(rows)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id").select("text", "label", "place")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id").groupBy("id", "label", "place").agg(F.min("text").alias("text")).select("text", "label", "place")
     made = chosen.mapInArrow(_vectors(bits), schema("slots array<int>, x array<float>, label double, place long")).toArrow().combine_chunks()
     if not made.num_rows:
         return np.zeros((1 << bits) + 1, np.float32)
@@ -142,8 +175,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", to: str = "sco
 
     @F.pandas_udf("double")
     def scored(column: pd.Series) -> pd.Series:
-        w = shared.value
-        return pd.Series([score_text(x, w) for x in column], dtype="float64")
+        return pd.Series(scores(column.tolist(), shared.value))
 
     return df.withColumn(to, scored(F.col(text)))
 

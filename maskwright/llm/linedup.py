@@ -23,8 +23,8 @@ def _line_hash(line: F.Column) -> F.Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    line = docs.select("id", "site", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return line.where(F.trim("line") != "").select("id", "site", _line_hash(F.col("line")).alias("h"))
+    line = docs.select("id", "t", "site", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return line.where(F.trim("line") != "").select("id", "t", "site", _line_hash(F.col("line")).alias("h"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,10 +50,12 @@ def clean(df: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> Da
     """
     whole = F.struct(*(df[x] for x in df.columns)).alias("row")
     rows = df.select(whole, F.coalesce(df["doc_id"].cast("long"), F.lit(_LAST)).alias("id"))
-    docs = rows.select("id", F.col("row")[site].cast("string").alias("site"), F.col("row.text").alias("text"))
+    # Rows of one id, or without any, may be very many: each text of theirs has its own set of lines that go.
+    rows = rows.withColumn("t", F.xxhash64("row.text"))
+    docs = rows.select("id", "t", F.col("row")[site].cast("string").alias("site"), F.col("row.text").alias("text"))
     found = durable(boilerplate(docs, min_sites))
-    gone = _lines(docs).select("id", "h").join(found, "h").where("id > first").groupBy("id").agg(F.collect_set("h").alias("gone"))
-    out = rows.join(gone, "id", "left").withColumn("lines", F.split("row.text", "\n", -1))
+    gone = _lines(docs).select("id", "t", "h").join(found, "h").where("id > first").groupBy("id", "t").agg(F.collect_set("h").alias("gone"))
+    out = rows.join(gone, ["id", "t"], "left").withColumn("lines", F.split("row.text", "\n", -1))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", _line_hash(x)) | (F.trim(x) == "")))
     out = out.withColumn("kept", kept)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))

@@ -7,13 +7,16 @@ sets form one class, and only one row of a class goes on. Band values make bucke
 1. In each bucket every class is checked against the bucket's smallest class, on the full sets. Work
    and rows stay linear in the bucket, and copies of one text, however many, meet in one component.
 2. Buckets that still hold several components are finished: the members outside the bucket's
-   largest component are indexed by shingle, in blocks, and all its members are streamed past
-   them. After this each pair that shares a bucket is confirmed, refuted, or already connected.
+   largest component are indexed by shingle, in blocks, and all its members of a size that can be
+   like theirs are streamed past them. What is dealt out are ids; sets join them in their blocks, which are
+   bounded by the shingles in them. After this each pair that shares a bucket is confirmed, refuted,
+   or already connected.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,8 @@ from .graph import components
 from .hashing import mix, shingles
 
 BANDS, ROWS = 32, 4
-#: Sets of one indexed block, and members streamed past it in one task.
-INDEXED, STREAMED = 256, 4096
+#: Shingles of one indexed block, and of the members streamed past it in one task.
+INDEXED, STREAMED = 1 << 20, 1 << 21
 _LANES = 1 << 12
 
 
@@ -170,20 +173,28 @@ def _first_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_against_first(percent), schema("a long, b long"))
 
 
-def _last_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links between the components that still share a bucket, as pairs of labels."""
+def _last_links(members: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, indexed: int = INDEXED, streamed: int = STREAMED) -> DataFrame | None:
+    """Links between the components that still share a bucket, as pairs of labels.
+
+    Sets whose sizes differ by more than percent cannot be alike. Sizes fall into classes by that ratio, so a
+    set only meets those of its own class and the two next to it.
+    """
     known = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = durable(known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all"))
     if mixed.isEmpty():
         return None
-    rows = durable(known.join(mixed, "band"))
-    width = F.lit(1) + F.floor((F.col("all") - F.col("most")) / INDEXED).cast("int")
-    depth = F.lit(1) + F.floor(F.col("all") / STREAMED).cast("int")
-    rows = rows.select("band", "node", "label", (F.col("label") != F.col("main")).alias("rest"), width.alias("width"), depth.alias("depth"))
-    across = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    indexed = rows.where("rest").select("band", "node", "label", F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), F.col("width")).cast("int").alias("i"), across(F.col("depth")).alias("j"))
-    passing = rows.select("band", "node", "label", F.lit(1).alias("role"), across(F.col("width")).alias("i"), F.pmod(F.xxhash64("node"), F.col("depth")).cast("int").alias("j"))
-    placed = indexed.union(passing).select(F.xxhash64("band", "i", "j").alias("block"), "role", "label", "node")
+    step = max(math.log(100 / percent) * 1.001, 1e-6)
+    rows = known.join(mixed.select("band", "main"), "band").join(sizes, "node")
+    rows = durable(rows.select("band", "node", "label", (F.col("label") != F.col("main")).alias("rest"), "n", F.floor(F.log("n") / step).alias("size")))
+    near = lambda: F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
+    width = rows.where("rest").groupBy("band", "size").agg((F.lit(1) + F.floor(F.sum("n") / indexed)).cast("int").alias("width"))
+    passing = durable(rows.select("band", "node", "label", "n", near().alias("size")).join(width, ["band", "size"]))
+    depth = durable(passing.groupBy("band", "size").agg(F.first("width").alias("width"), (F.lit(1) + F.floor(F.sum("n") / streamed)).cast("int").alias("depth")))
+    across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    held = rows.where("rest").join(depth, ["band", "size"]).select("band", "size", "node", "label", F.lit(0).alias("role"), dealt("width").alias("i"), across("depth").alias("j"))
+    past = passing.drop("width").join(depth, ["band", "size"]).select("band", "size", "node", "label", F.lit(1).alias("role"), across("width").alias("i"), dealt("depth").alias("j"))
+    placed = held.union(past).select(F.xxhash64("band", "size", "i", "j").alias("block"), "role", "label", "node")
     ready = placed.join(sets, "node").select("block", "role", "label", "node", "set").repartition(shuffle_partitions(members.sparkSession), "block").sortWithinPartitions("block", "role")
     return ready.mapInArrow(_against_block(percent), schema("a long, b long"))
 
@@ -201,7 +212,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, count: int
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sketched = durable(docs.mapInArrow(_sketch(words, count, rows), schema("doc_id long, n_shingles long, key binary, bands array<long>")))
     usable = sketched.where("key is not null and doc_id is not null")
-    classes = durable(usable.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    classes = durable(usable.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     spread = classes.select("node", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("band", "lead")
     members = durable(spread.join(buckets, "band"))
@@ -214,7 +225,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, count: int
     many = of_row.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = of_row.join(many, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
     labels = components(_first_links(edges, sets, percent).union(same))
-    later = _last_links(members, labels, sets, percent)
+    later = _last_links(members, labels, classes.select("node", "n"), sets, percent)
     if later is not None:
         joined = components(later).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = labels.union(members.select("node", F.col("node").alias("label")).distinct().join(labels, "node", "left_anti"))

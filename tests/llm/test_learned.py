@@ -3,10 +3,14 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import regex
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskwright.llm import catalog, fingerprint, ftrl, htmltext, minhash, surrogates
@@ -113,11 +117,33 @@ def test_quality_odd_rows(spark):
 
 
 def test_scores_are_sparse_dot_products():
+    text = "Good words, GOOD words words words"
+    owner, slots, values = ftrl.vectors(["", text, None, "x"])
+    assert set(owner.tolist()) == {1, 3} and abs(np.linalg.norm(values[owner == 1]) - 1) < 1e-9
     weights = np.zeros((1 << ftrl.BITS) + 1, np.float32)
-    slots, values = ftrl.vector("Good words, GOOD words words words")
     weights[slots[0]], weights[-1] = 2.0, -1.0
-    assert abs(ftrl.score_text("Good words, GOOD words words words", weights) - 1 / (1 + np.exp(1 - 2 * values[0]))) < 1e-6
-    assert abs(np.linalg.norm(values) - 1) < 1e-9
+    assert np.allclose(ftrl.scores([text, None], weights), [1 / (1 + np.exp(1 - 2 * values[0])), 1 / (1 + np.exp(1))])
+    assert len(ftrl.scores([], weights)) == 0
+
+
+def slow_features(text):
+    """Tokens and pairs, spelt out."""
+    tokens = regex.findall(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+", text or "")
+    known = [x.lower() for x in tokens]
+    spelt = ["<again>" if i and x == known[i - 1] else x for i, x in enumerate(known)]
+    return [("1", x) for x in spelt] + [("1", "<capitals>")] * sum(len(x) > 1 and x.isupper() for x in tokens) + [("2", *x) for x in zip(spelt, spelt[1:], strict=False)]
+
+
+def test_features_are_those_of_the_tokens():
+    texts = ["The the THE cat", None, "", "Añb çD 12, 34 -- ÉÉ é", "\u2028a\u00a0b\tc", "cat the", "x" * 3 + "! " * 4, "日本 語", "Ж ж ЖЖ жЖ", "e\u0301 E\u0301"]
+    owner, slots = ftrl.features(texts, 40)
+    for i, text in enumerate(texts):
+        want = Counter(slow_features(text))
+        got = Counter(slots[owner == i].tolist())
+        assert sorted(want.values()) == sorted(got.values()), text
+        alone, single = ftrl.features([text], 40)
+        assert Counter(single.tolist()) == got
+    assert ftrl.features(["THE the"], 40)[1][0] == ftrl.features(["the"], 40)[1][0]
 
 
 # fingerprints -----------------------------------------------------------------------------------------
@@ -150,6 +176,55 @@ def test_fingerprints_add_up(spark):
     assert both.ab == both.ba == both["sum"] and both.rest == both.a
 
 
+def spelt_fingerprint(text):
+    """The definition, number by number."""
+    h = lambda seed, x: xxhash.xxh64_intdigest(x.encode(), seed=seed)
+    seed = lambda i: xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed=42)
+    wide, ones, n = [0] * 8, [0] * 128, 0
+    for paragraph in text.split("\n"):
+        for i in range(4):
+            value = h(seed(1000 + i), paragraph)
+            wide[2 * i] += value & 0xFFFFFFFF
+            wide[2 * i + 1] += value >> 32
+        words = paragraph.split(" ")
+        for a, b in zip(words, [*words[1:], "\n"], strict=True):
+            n += 1
+            for k in (0, 1):
+                value = h(h(seed(k + 1), a), b)
+                for i in range(32):
+                    ones[64 * k + 2 * i] += value >> i & 1
+                    ones[64 * k + 2 * i + 1] += value >> (i + 32) & 1
+    lanes = [2 * x - n for x in ones]
+    return "".join(f"{x % 2**32:08x}" for x in wide) + "".join(f"{x % 65536:04x}" for x in lanes), np.array(lanes, float)
+
+
+def test_fingerprints_against_their_definition(spark):
+    texts = ["one two three\nfour five", "", "one two three", "four five\none two three", "ünï cödé  twice twice", "a\n\nb"]
+    rows = fingerprint.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect()
+    near = lambda a, b: 1.0 if not (a @ a + b @ b) else max(0.0, 1 - ((a - b) @ (a - b)) / (a @ a + b @ b))
+    for r in rows:
+        following = texts[(r.doc_id - 1) % len(texts)]
+        half = len(texts[r.doc_id]) // 2
+        edited = texts[r.doc_id][: len(texts[r.doc_id]) - half] + following[:half]
+        (own, a), (other, b), (_, c) = map(spelt_fingerprint, (texts[r.doc_id], edited, following))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, other)
+        assert abs(r.near_edited - near(a, b)) < 1e-9 and abs(r.near_next - near(a, c)) < 1e-9
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 8, 40])
+def test_order_with_very_many_rows_of_one_id(spark, buckets):
+    """A third of the rows without an id, a third with one id: both are cut by their texts' hashes."""
+    rows = [(None, f"none {i} {'x' * i}") for i in range(60)] + [(50, f"one {i} {'y' * i}") for i in range(60)] + [(i, f"own {i} {'z' * i}") for i in range(20, 80) if i != 50]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprint.with_next(df, buckets).where("not ghost")
+    if buckets == 40:
+        assert placed.where("doc_id is null").select("bucket").distinct().count() > 5 and placed.where("doc_id = 50").select("bucket").distinct().count() > 5
+    got = sorted(((r.doc_id, r.text, r.next_text) for r in placed.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = [(r.doc_id, r.text) for r in df.orderBy(df.doc_id.desc_nulls_last(), F.xxhash64("text"), "text").collect()]
+    want = [(*x, order[(i + 1) % len(order)][1]) for i, x in enumerate(order)]
+    assert got == sorted(want, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+
+
 def test_fingerprints_few_rows(spark):
     one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     row = fingerprint.compare(one).first()
