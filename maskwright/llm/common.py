@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made.
+    Only where it is unset and all runs on one machine, as in tests, a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_before.get() if set_before.isDefined() else ""
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="maskwright-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)

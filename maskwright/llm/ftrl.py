@@ -22,7 +22,7 @@ from .hashing import mix
 
 BITS = 18
 #: At most this many labelled rows, the ones with the smallest hashed ids, are learnt from, so many times.
-TRAINING_ROWS, PASSES = 12_000, 10
+TRAINING_ROWS, PASSES = 12_000, 6
 THRESHOLD = 0.3
 #: Characters of text that are hashed together.
 BLOCK_CHARS = 1 << 19
