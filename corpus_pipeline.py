@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates."""
-    return _documents(surrogates.pseudonymize(docs.select(*_COLUMNS)))
+    return _documents(surrogates.pseudonymize(docs.select(*_COLUMNS), surrogates.session_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
