@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .validators import let
+
 _WORD = "[0-9A-Za-z_]"
 #: `\b` before a word character, after one, and in general.
 LEFT, RIGHT = rf"(?<!{_WORD})", rf"(?!{_WORD})"
@@ -67,29 +69,56 @@ def make_span(entity: Column, start: Column, end: Column, score: Column, recogni
     )
 
 
+#: Around a match in a marked text; the first character alone is escaped before.
+_EDGE, _ESCAPE = "\x01\x02", "\x01\x03"
+#: Numbers that are added up at once.
+_RUN = 256
+
+
+def parts_of(text: Column, java: str) -> Column:
+    """text cut into gaps, at even places, and matches, at odd ones, by one pass: matches are marked, then the text is split."""
+    odd = text.contains(_EDGE[0])
+    marked = F.regexp_replace(F.when(odd, F.replace(text, F.lit(_EDGE[0]), F.lit(_ESCAPE))).otherwise(text), java, f"{_EDGE}$0{_EDGE}")
+    cut = F.split(marked, _EDGE, -1)
+    return F.when(odd, F.transform(cut, lambda x: F.replace(x, F.lit(_ESCAPE), F.lit(_EDGE[0])))).otherwise(cut)
+
+
+def running(numbers: Column) -> Column:
+    """For each number the sum of those before it. Runs are added up apart, so that no long array is copied for each of its elements."""
+
+    def sums(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(values, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")))
+
+    def joined(runs: Column) -> Column:
+        firsts = sums(F.transform(runs, lambda r: r["at"]))["before"]
+        return F.flatten(F.zip_with(runs, firsts, lambda r, first: F.transform(r["before"], lambda x: x + first)))
+
+    count = F.floor((F.size(numbers) + _RUN - 1) / _RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), count - 1), lambda i: sums(F.slice(numbers, i * _RUN + 1, F.lit(_RUN))))
+    return F.when(F.size(numbers) <= _RUN, sums(numbers)["before"]).otherwise(let(runs, joined))
+
+
 def matches(text: Column, pattern: Pattern, entity: str, recognizer: str, order: int, validate: Callable[[Column], Column] | None = None) -> Column:
     """All leftmost, non-overlapping matches as spans; order numbers the pattern, and matches follow in it.
 
-    Offsets come from one walk over the gaps between matches, so nothing is searched twice. A null or
-    empty text gives an empty array.
+    Each text is searched once; offsets are sums over the lengths of its parts. A null or empty text gives an
+    empty array.
     """
-    java = pattern.for_java()
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, java, -1).alias("gap"), found.alias("hit"))
     verdict = validate or (lambda _: F.lit(None).cast("boolean"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        valid = verdict(pair["hit"])
-        score = F.when(valid, 1.0).otherwise(F.lit(pattern.score))
-        span = make_span(F.lit(entity), start, end, score, F.lit(recognizer), F.lit(pattern.name), F.lit(pattern.score), F.lit(0.0), F.lit(order * 1_000_000).cast("long") + F.size(state["out"]))
-        keep = pair["hit"].isNotNull() & F.coalesce(valid, F.lit(True))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty_spans().alias("out")), step, lambda s: s["out"])
-    gate = pattern.gate(text) & text.rlike(java) if pattern.gate else text.rlike(java)
-    return F.when(gate, folded).otherwise(empty_spans())
+    def span(x: Column, i: Column) -> Column:
+        start = x["start"]
+        score = F.when(x["valid"], 1.0).otherwise(F.lit(pattern.score))
+        return make_span(F.lit(entity), start, start + F.length(x["hit"]), score, F.lit(recognizer), F.lit(pattern.name), F.lit(pattern.score), F.lit(0.0), F.lit(order * 1_000_000).cast("long") + i)
+
+    def spans(parts: Column) -> Column:
+        placed = F.arrays_zip(parts.alias("hit"), running(F.transform(parts, F.length)).alias("start"))
+        judged = F.transform(F.filter(placed, lambda x, i: i % 2 == 1), lambda x: F.struct(x["hit"].alias("hit"), x["start"].alias("start"), verdict(x["hit"]).alias("valid")))
+        return F.transform(F.filter(judged, lambda x: F.coalesce(x["valid"], F.lit(True))), span)
+
+    found = let(parts_of(text, pattern.for_java()), lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(empty_spans()))
+    return F.when(pattern.gate(text) if pattern.gate else text.isNotNull(), found).otherwise(empty_spans())
 
 
 def span_text(text: Column, span: Column) -> Column:

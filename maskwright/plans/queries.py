@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.matching import make_span
+from ..functions.matching import Pattern, make_span
 from ..operators import anonymize as A
 from ..operators import ner as N
 from ..operators import recognizers as R
@@ -303,7 +303,15 @@ def recognize_crypto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(R.crypto("en"), df)
 
 
-@_register("supported_entities", "SELECT * FROM (VALUES " + ", ".join(f"('{code}', {i}, '{e}')" for code in ("en", "fr") for i, e in enumerate(default_registry("en", "fr").supported_entities(code))) + ") t(language, place, entity_type)")
+_SUPPORTED = {
+    "en": (
+        "CREDIT_CARD", "EMAIL_ADDRESS", "IBAN_CODE", "IP_ADDRESS", "URL", "MAC_ADDRESS", "CRYPTO", "US_SSN", "US_ITIN", "US_PASSPORT", "US_DRIVER_LICENSE", "US_BANK_NUMBER", "ABA_ROUTING_NUMBER", "US_NPI", "US_MBI", "MEDICAL_LICENSE"
+    ),
+    "fr": ("CREDIT_CARD", "EMAIL_ADDRESS", "IBAN_CODE", "IP_ADDRESS", "URL", "MAC_ADDRESS", "CRYPTO", "FR_NIR", "FR_SIREN", "FR_SIRET", "FR_LICENSE_PLATE", "FR_PHONE_NUMBER"),
+}
+
+
+@_register("supported_entities", "SELECT * FROM (VALUES " + ", ".join(f"('{code}', {i}, '{e}')" for code, entities in _SUPPORTED.items() for i, e in enumerate(entities)) + ") t(language, place, entity_type)")
 def supported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = default_registry("en", "fr")
     return spark.createDataFrame([(c, i, e) for c in ("en", "fr") for i, e in enumerate(registry.supported_entities(c))], "language string, place int, entity_type string")
@@ -322,16 +330,48 @@ def entity_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_rows(done, keep=["id"]).select("id", "s.entity_type", "s.start", "s.end", "s.score")
 
 
-@_register("analyze_documents")
+_LANGUAGES = ("en", "fr", "de", "es")
+
+
+def _corpus_sql(min_score: float = 0.0) -> str:
+    """Spans (id, entity_type, start, end, score, ord, recognizer, value) of every recognizer of each document's language.
+
+    Whether a string is a coin address is beyond SQL: none in these documents is taken to be one.
+    """
+    groups: dict[tuple, tuple[R.PatternRecognizer, list[str]]] = {}
+    for recognizer in default_registry(*_LANGUAGES):
+        groups.setdefault((recognizer.name, recognizer.patterns), (recognizer, []))[1].append(recognizer.language)
+    parts = []
+    for order, (recognizer, languages) in enumerate(groups.values()):
+        source = "SELECT * FROM t WHERE lang IN (" + ", ".join(f"'{x}'" for x in languages) + ")"
+        verdict = "false" if recognizer.name == "CryptoRecognizer" else VERDICTS.get(recognizer.name)
+        found = f"SELECT s.*, {window_sql('t.text', 's.start')} AS win FROM ({spans_sql(source, recognizer, verdict)}) s JOIN t ON s.id = t.id"
+        parts.append(f"SELECT id, entity_type, start, \"end\", {boosted_sql('win', recognizer.context, 'score')} AS score, {order} * 10000000 + pat * 100000 + i AS ord, '{recognizer.name}' AS recognizer, v AS value FROM ({found}) w")
+    union = "\nUNION ALL ".join(parts)
+    return f"""
+WITH t AS (SELECT doc_id AS id, text, lang FROM documents), b AS (SELECT * FROM ({union}) u WHERE score >= {min_score}),
+d AS (SELECT * FROM b c WHERE NOT EXISTS (SELECT 1 FROM b k WHERE k.id = c.id AND k.entity_type = c.entity_type AND k.start <= c.start AND c."end" <= k."end"
+  AND (k.score > c.score OR (k.score = c.score AND (k."end" - k.start > c."end" - c.start OR (k."end" - k.start = c."end" - c.start AND k.ord < c.ord))))))"""
+
+
+@_register("analyze_documents", f'{_corpus_sql()} SELECT id, entity_type, start, "end", round(score, 6) AS score, recognizer, value FROM d')
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recognizer of each document's language over all documents."""
-    done = Analyzer(default_registry("en", "fr", "de", "es")).analyze(_documents(spark, sf_dir), language=F.col("lang"))
-    return explode_spans(done, keep=["id"])
+    done = Analyzer(default_registry(*_LANGUAGES)).analyze(_documents(spark, sf_dir), language=F.col("lang"))
+    return explode_spans(done, keep=["id"]).select("id", "entity_type", "start", "end", F.round("score", 6).alias("score"), "recognizer", "value")
 
 
-@_register("anonymize_documents")
+@_register(
+    "anonymize_documents",
+    f"""{_corpus_sql(0.4)},
+l AS (SELECT id, list({{'t': entity_type, 's': start, 'e': "end"}} ORDER BY score DESC, "end" - start DESC, start, ord) AS x FROM d GROUP BY id),
+r AS (SELECT id, list_reduce(list_transform(x, lambda v: [v]), lambda acc, v: CASE WHEN len(list_filter(acc, lambda k: v[1].s < k.e AND k.s < v[1].e)) > 0 THEN acc ELSE list_concat(acc, v) END) AS k FROM l),
+p AS (SELECT id, u.t AS t, u.s AS s, u.e AS e, coalesce(lag(u.e) OVER (PARTITION BY id ORDER BY u.s), 0) AS past FROM (SELECT id, unnest(k) AS u FROM r)),
+w AS (SELECT p.id, string_agg(substr(t.text, past + 1, s - past) || '<' || p.t || '>', '' ORDER BY s) AS front, max(e) AS last, CAST(count(*) AS INTEGER) AS n FROM p JOIN t ON p.id = t.id GROUP BY p.id)
+SELECT t.id, CASE WHEN w.id IS NULL THEN t.text ELSE front || substr(t.text, last + 1) END AS text, coalesce(n, 0) AS n_items FROM t LEFT JOIN w ON t.id = w.id""",
+)
 def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = Analyzer(default_registry("en", "fr", "de", "es")).analyze(_documents(spark, sf_dir), language=F.col("lang"), min_score=0.4)
+    done = Analyzer(default_registry(*_LANGUAGES)).analyze(_documents(spark, sf_dir), language=F.col("lang"), min_score=0.4)
     return A.anonymize(done).select("id", F.col("anonymized.text").alias("text"), F.size("anonymized.items").alias("n_items"))
 
 
@@ -379,10 +419,18 @@ def _capitals() -> N.Predict:
     return lambda tokens: [("B-PER", 0.9) if t.text[:1].isupper() else ("O", 0.9) for t in tokens]
 
 
-@_register("ner_engine")
+#: What the stand-in takes for a person: a word of plain letters with a capital first. Other words are unknown to its vocabulary.
+_CAPITALISED = R.PatternRecognizer("", "PERSON", "en", (Pattern("", r"[^\s\p{Z}\p{P}\p{S}]+", 0.9),))
+
+
+@_register(
+    "ner_engine",
+    f"""SELECT id.c AS conv_id, id.t AS turn, entity_type, start, "end", score, v AS value
+FROM ({spans_sql("SELECT {'c': conv_id, 't': turn} AS id, text FROM conversations", _CAPITALISED)}) z WHERE regexp_full_match(v, '[A-Z][a-z]*')""",
+)
 def ner_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, windows, labels and merging over all conversations, with a stand-in for the model."""
     vocabulary = N.read_vocabulary(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz")])
     engine = N.NerEngine(vocabulary, _capitals)
     done = Analyzer(Registry([R.NerRecognizer("en")]), engine=engine).analyze(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-    return explode_spans(done, keep=["conv_id", "turn"])
+    return explode_spans(done, keep=["conv_id", "turn"]).select("conv_id", "turn", "entity_type", "start", "end", "score", "value")
