@@ -7,7 +7,8 @@ could run away have a possessive form of their own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -75,14 +76,6 @@ _EDGE, _ESCAPE = "\x01\x02", "\x01\x03"
 _RUN = 256
 
 
-def parts_of(text: Column, java: str) -> Column:
-    """text cut into gaps, at even places, and matches, at odd ones, by one pass: matches are marked, then the text is split."""
-    odd = text.contains(_EDGE[0])
-    marked = F.regexp_replace(F.when(odd, F.replace(text, F.lit(_EDGE[0]), F.lit(_ESCAPE))).otherwise(text), java, f"{_EDGE}$0{_EDGE}")
-    cut = F.split(marked, _EDGE, -1)
-    return F.when(odd, F.transform(cut, lambda x: F.replace(x, F.lit(_ESCAPE), F.lit(_EDGE[0])))).otherwise(cut)
-
-
 def running(numbers: Column) -> Column:
     """For each number the sum of those before it. Runs are added up apart, so that no long array is copied for each of its elements."""
 
@@ -99,26 +92,64 @@ def running(numbers: Column) -> Column:
     return F.when(F.size(numbers) <= _RUN, sums(numbers)["before"]).otherwise(let(runs, joined))
 
 
-def matches(text: Column, pattern: Pattern, entity: str, recognizer: str, order: int, validate: Callable[[Column], Column] | None = None) -> Column:
-    """All leftmost, non-overlapping matches as spans; order numbers the pattern, and matches follow in it.
+@dataclass(frozen=True)
+class Search:
+    """A pattern to look for; order numbers it, and its matches follow in it. only: for which rows."""
 
-    Each text is searched once; offsets are sums over the lengths of its parts. A null or empty text gives an
-    empty array.
-    """
-    verdict = validate or (lambda _: F.lit(None).cast("boolean"))
+    pattern: Pattern
+    entity: str
+    recognizer: str
+    order: int
+    validate: Callable[[Column], Column] | None = None
+    only: Column | None = None
 
-    def span(x: Column, i: Column) -> Column:
-        start = x["start"]
-        score = F.when(x["valid"], 1.0).otherwise(F.lit(pattern.score))
-        return make_span(F.lit(entity), start, start + F.length(x["hit"]), score, F.lit(recognizer), F.lit(pattern.name), F.lit(pattern.score), F.lit(0.0), F.lit(order * 1_000_000).cast("long") + i)
 
-    def spans(parts: Column) -> Column:
-        placed = F.arrays_zip(parts.alias("hit"), running(F.transform(parts, F.length)).alias("start"))
-        judged = F.transform(F.filter(placed, lambda x, i: i % 2 == 1), lambda x: F.struct(x["hit"].alias("hit"), x["start"].alias("start"), verdict(x["hit"]).alias("valid")))
-        return F.transform(F.filter(judged, lambda x: F.coalesce(x["valid"], F.lit(True))), span)
+def matches(text: Column, searches: Sequence[Search], with_digits: Sequence[Search] = ()) -> Column:
+    """All leftmost, non-overlapping matches of each pattern as spans. with_digits: patterns whose matches all hold a digit.
 
-    found = let(parts_of(text, pattern.for_java()), lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(empty_spans()))
-    return F.when(pattern.gate(text) if pattern.gate else text.isNotNull(), found).otherwise(empty_spans())
+    For each pattern a text is tried for a first match, and if there is one searched once for all: matches are marked and
+    the marked text is split. What is made of the parts is spelt once for all patterns; offsets are sums over the
+    lengths of the parts. A null or empty text gives an empty array.
+    """
+    escaped = text.contains(_EDGE[0])
+    safe = F.when(escaped, F.replace(text, F.lit(_EDGE[0]), F.lit(_ESCAPE))).otherwise(text)
+    every = [*searches, *with_digits]
+    rules = list(dict.fromkeys(x.validate for x in every if x.validate is not None))
+    about = [{"e": x.entity, "r": x.recognizer, "p": x.pattern.name, "s": x.pattern.score, "o": x.order * 1_000_000, "v": rules.index(x.validate) if x.validate else -1} for x in every]
+    table = F.from_json(F.lit(json.dumps(about)), "array<struct<e:string,r:string,p:string,s:double,o:bigint,v:int>>")
+
+    def parts(x: Search) -> Column:
+        """Gaps at even places, matches at odd ones; null without any."""
+        java = x.pattern.for_java()
+        there = text.rlike(java)
+        if x.pattern.gate:
+            there = x.pattern.gate(text) & there
+        if x.only is not None:
+            there = x.only & there
+        return F.when(there, F.split(F.regexp_replace(safe, java, f"{_EDGE}$0{_EDGE}"), _EDGE, -1))
+
+    def verdict(hit: Column, rule: Column) -> Column:
+        out = F.lit(None).cast("boolean")
+        for i, f in enumerate(rules):
+            out = F.when(rule == i, f(hit)).otherwise(out)
+        return out
+
+    def spans(found: Column, about: Column) -> Column:
+        placed = F.arrays_zip(found.alias("hit"), running(F.transform(found, F.length)).alias("start"))
+        judged = F.transform(F.filter(placed, lambda x, i: i % 2 == 1), lambda x: F.struct(x["hit"].alias("hit"), x["start"].alias("start"), verdict(x["hit"], about["v"]).alias("valid")))
+        return F.transform(F.filter(judged, lambda x: F.coalesce(x["valid"], F.lit(True))), lambda x, i: span(x, i, about))
+
+    def span(x: Column, i: Column, about: Column) -> Column:
+        score = F.when(x["valid"], 1.0).otherwise(about["s"])
+        return make_span(about["e"], x["start"], x["start"] + F.length(x["hit"]), score, about["r"], about["p"], about["s"], F.lit(0.0), about["o"] + i)
+
+    plain = lambda found: F.when(escaped, F.transform(found, lambda x: F.replace(x, F.lit(_ESCAPE), F.lit(_EDGE[0])))).otherwise(found)
+    found = F.array(*map(parts, searches)).cast("array<array<string>>")
+    if with_digits:
+        found = F.concat(found, F.when(text.rlike("[0-9]"), F.array(*map(parts, with_digits))).otherwise(F.array().cast("array<array<string>>")))
+    numbered = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: x["x"].isNotNull())
+    build = lambda x: let(F.get(table, x["i"]), lambda about: let(plain(x["x"]), lambda found: spans(found, about)))
+    return F.when(text.isNull(), empty_spans()).otherwise(F.flatten(F.transform(numbered, build)))
 
 
 def span_text(text: Column, span: Column) -> Column:

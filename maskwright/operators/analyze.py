@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import SPANS, empty_spans
+from ..functions.matching import SPANS, empty_spans, matches
 from .context import Enhancer
 from .registry import Registry
 from .resolve import by_place, drop_contained
@@ -49,15 +49,17 @@ class Analyzer:
         for order, x in enumerate(chosen):
             key = (x.name, x.entities, getattr(x, "patterns", None), getattr(x, "labels", None))
             groups.setdefault(key, []).append((order, x))
-        parts, with_digits = [], []
+        parts, searches, with_digits = [], [], []
         for same in groups.values():
             order, x = same[0]
-            found = x.detect(text, order, artifacts)
-            if not isinstance(language, str):
-                found = F.when(language.isin(*[y.language for _, y in same]), found).otherwise(empty_spans())
-            (with_digits if getattr(x, "digits", False) else parts).append(found)
-        if with_digits:
-            parts.append(F.when(text.rlike("[0-9]"), F.concat(*with_digits)).otherwise(empty_spans()))
+            only = None if isinstance(language, str) else language.isin(*[y.language for _, y in same])
+            if hasattr(x, "searches"):
+                (with_digits if x.digits else searches).extend(x.searches(order, only))
+            else:
+                found = x.detect(text, order, artifacts)
+                parts.append(found if only is None else F.when(only, found).otherwise(empty_spans()))
+        if searches or with_digits:
+            parts.insert(0, matches(text, searches, with_digits))
         if not parts:
             return empty_spans()
         spans = parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..functions.matching import EITHER, RIGHT, Pattern, empty_spans, make_span, matches
+from ..functions.matching import EITHER, RIGHT, Pattern, Search, empty_spans, make_span, matches
 
 _digits = lambda n: lambda text: text.rlike(f"[0-9]{{{n}}}")
 _some_digit = lambda text: text.rlike("[0-9]")
@@ -37,10 +37,13 @@ class PatternRecognizer:
     def entities(self) -> tuple[str, ...]:
         return (self.entity,)
 
+    def searches(self, order: int = 0, only: Column | None = None) -> list[Search]:
+        """What to look for; order is the recognizer's place, which settles ties."""
+        return [Search(p, self.entity, self.name, order * 100 + i, self.validators.get(p.name, self.validate), only) for i, p in enumerate(self.patterns)]
+
     def detect(self, text: Column, order: int = 0, artifacts: Column | None = None) -> Column:
-        """Array of spans; order is the recognizer's place, which settles ties."""
-        found = [matches(text, p, self.entity, self.name, order * 100 + i, self.validators.get(p.name, self.validate)) for i, p in enumerate(self.patterns)]
-        return found[0] if len(found) == 1 else F.concat(*found)
+        """Array of spans."""
+        return matches(text, self.searches(order))
 
 
 #: Labels of a named-entity model and the entity types they stand for.
