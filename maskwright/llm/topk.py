@@ -190,7 +190,8 @@ def top_k(df: DataFrame, k: int = 10, scale: float = 1024.0, every: int = 100, i
     spark = df.sparkSession
     kept = df.where(usable(df, vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     queries = durable(kept.where(F.col("vec_id") % every == 0).distinct().withColumn("q", F.xxhash64("vec_id", "v")))
-    blocks, chunks = 1 + queries.count() // query_block, max(2 * shuffle_partitions(spark), 1 + kept.count() // chunk)
+    rows = kept.count()
+    blocks, chunks = 1 + queries.count() // query_block, max(1 + rows // chunk, min(shuffle_partitions(spark), 1 + rows // CANDIDATE_BLOCK))
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     asked = queries.select(dealt(blocks, "q", F.lit(3)).alias("block"), across(chunks).alias("chunk"), F.lit(0).alias("role"), "q", "vec_id", "v")
