@@ -6,14 +6,21 @@ is loaded only when asked for. Text goes through Arrow batches, with the model l
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
+import os
+import shutil
+import tempfile
 import unicodedata
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTITIES = "array<struct<label:string,start:int,end:int,score:double>>"
@@ -177,12 +184,15 @@ class NerEngine:
         if not self.vocabulary:
             raise ValueError("the vocabulary is empty")
 
-    def artifacts(self, text: str | None, predict: Predict) -> dict:
-        tokens = tokenize(text or "", self.vocabulary, self.lower)
-        found: list[Entity] = []
-        for part in windows(tokens, self.size, self.size - self.shared) if tokens else []:
-            found += aggregate(part, predict(part))
-        return {"tokens": [t.text for t in tokens], "lemmas": [], "ner_entities": [e.__dict__ for e in merge_entities(found)]}
+    def artifacts(self, texts: Iterable[str | None], predict: Predict) -> list[dict]:
+        """One row for each text; the windows of all of them go to the model together if it takes many."""
+        tokens = [tokenize(x or "", self.vocabulary, self.lower) for x in texts]
+        cut = [windows(x, self.size, self.size - self.shared) if x else [] for x in tokens]
+        flat = [part for parts in cut for part in parts]
+        many = getattr(predict, "many", None)
+        labels = iter(many(flat) if many else map(predict, flat))
+        found = [[e for part in parts for e in aggregate(part, next(labels))] for parts in cut]
+        return [{"tokens": [t.text for t in x], "lemmas": [], "ner_entities": [e.__dict__ for e in merge_entities(y)]} for x, y in zip(tokens, found, strict=True)]
 
     def process(self, df: DataFrame, text: str = "text") -> DataFrame:
         engine = self
@@ -191,34 +201,111 @@ class NerEngine:
         def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             predict = engine.make_predict()
             for batch in batches:
-                yield pd.DataFrame([engine.artifacts(x, predict) for x in batch], columns=["tokens", "lemmas", "ner_entities"])
+                yield pd.DataFrame(engine.artifacts(batch, predict), columns=["tokens", "lemmas", "ner_entities"])
 
         return df.withColumn("artifacts", found(F.col(text)))
 
 
-def onnx_predict(folder: str | Path) -> Callable[[], Predict]:
-    """A model folder's predictor: the quantized file if there is one; labels and vocabulary beside it."""
+#: A model folder's files; of the first two the first that is there.
+MODELS, OTHERS = ("model_quantized.onnx", "model.onnx"), ("config.json", "vocab.txt", "tokenizer_config.json")
 
-    def make() -> Predict:
-        import numpy as np
+
+class OnnxPredictor:
+    """A model folder's predictor: the quantized file if there is one; labels and vocabulary beside it.
+
+    Windows of one length go to the model together, up to batch at a time, so that none is padded. A quantized
+    model may take its ranges from all that it is given at once: batch=1 gives it one window a call.
+    """
+
+    def __init__(self, folder: str | Path, batch: int = 16, providers: Sequence[str] = ("CPUExecutionProvider",), threads: int = 1) -> None:
         import onnxruntime
 
-        path = next(p for name in ("model_quantized.onnx", "model.onnx") if (p := Path(folder) / name).exists())
-        session, labels = onnxruntime.InferenceSession(str(path)), read_labels(Path(folder) / "config.json")
+        path = next((p for name in MODELS if (p := Path(folder) / name).exists()), None)
+        if path is None:
+            raise FileNotFoundError(f"{folder} has none of {', '.join(MODELS)}")
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = options.inter_op_num_threads = threads
+        self.session = onnxruntime.InferenceSession(str(path), options, providers=list(providers))
+        self.names = {x.name for x in self.session.get_inputs()}
+        self.labels, self.batch = read_labels(Path(folder) / "config.json"), batch
         vocabulary = read_vocabulary((Path(folder) / "vocab.txt").read_text(encoding="utf-8").splitlines())
-        frame = vocabulary.get("[CLS]", 0), vocabulary.get("[SEP]", 0)
+        self.frame = vocabulary.get("[CLS]", 0), vocabulary.get("[SEP]", 0)
+
+    def __call__(self, tokens: Sequence[Token]) -> list[tuple[str, float]]:
+        return self.many([tokens])[0]
+
+    def many(self, parts: Sequence[Sequence[Token]]) -> list[list[tuple[str, float]]]:
+        import numpy as np
 
-        def predict(tokens: Sequence[Token]) -> list[tuple[str, float]]:
-            ids = np.array([[frame[0], *(t.id for t in tokens), frame[1]]], np.int64)
-            given = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
-            logits = session.run(None, {x.name: given[x.name] for x in session.get_inputs() if x.name in given})[0][0]
-            return [softmax_label(row, labels) for row in logits[1:-1]]
+        out: list[list[tuple[str, float]]] = [[] for _ in parts]
+        by_length: dict[int, list[int]] = {}
+        for i, part in enumerate(parts):
+            by_length.setdefault(len(part), []).append(i)
+        for same in by_length.values():
+            for at in range(0, len(same), self.batch):
+                chosen = same[at : at + self.batch]
+                ids = np.array([[self.frame[0], *(t.id for t in parts[i]), self.frame[1]] for i in chosen], np.int64)
+                given = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
+                for i, rows in zip(chosen, self.session.run(None, {k: v for k, v in given.items() if k in self.names})[0], strict=True):
+                    out[i] = [softmax_label(row, self.labels) for row in rows[1:-1]]
+        return out
 
-        return predict
+
+#: Models of this process by folder and options: a worker loads one once, however many tasks it runs.
+_LOADED: dict[tuple, OnnxPredictor] = {}
+
+
+def onnx_predict(folder: str | Path, shipped: bool = False, **options) -> Callable[[], Predict]:
+    """make_predict for a folder: a path that each worker has, or the name under which ship() sent it."""
+    key = (str(folder), shipped, *sorted(options.items()))
+
+    def make() -> Predict:
+        if key not in _LOADED:
+            _LOADED[key] = OnnxPredictor(SparkFiles.get(str(folder)) if shipped else folder, **options)
+        return _LOADED[key]
 
     return make
 
 
+def unload_models() -> int:
+    """Let go of this process's models and return how many there were; they are loaded again when next asked for."""
+    n = len(_LOADED)
+    _LOADED.clear()
+    return n
+
+
+def ship(spark: SparkSession, folder: str | Path) -> str:
+    """Send a model folder of the driver to all workers, and return the name that it has there.
+
+    The name is a digest of the files, so that a folder is sent once and two models do not meet.
+    """
+    files = [p for name in (next((x for x in MODELS if (Path(folder) / x).exists()), MODELS[-1]), *OTHERS) if (p := Path(folder) / name).exists()]
+    digest = hashlib.sha256()
+    for p in files:
+        digest.update(f"{p.name} {p.stat().st_size}\n".encode())
+        with p.open("rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+    name = f"maskwright-model-{digest.hexdigest()[:32]}"
+    context = spark.sparkContext
+    if not any(x.endswith(f"#{name}") for x in context.listArchives):
+        # The driver serves the file from here until the session ends.
+        served = tempfile.mkdtemp(prefix="maskwright-model-")
+        atexit.register(shutil.rmtree, served, ignore_errors=True)
+        path = os.path.join(served, f"{name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in files:
+                z.write(p, p.name)
+        context.addArchive(f"{path}#{name}")
+    return name
+
+
+def onnx_engine(spark: SparkSession, folder: str | Path, size: int = WINDOW, shared: int = SHARED, **options) -> NerEngine:
+    """The engine of a model folder that only the driver has: files sent to workers, do_lower_case as the folder says."""
+    vocabulary = read_vocabulary((Path(folder) / "vocab.txt").read_text(encoding="utf-8").splitlines())
+    return NerEngine(vocabulary, onnx_predict(ship(spark, folder), shipped=True, **options), reads_lower_case(folder), size, shared)
+
+
 def softmax_label(row: Sequence[float], labels: Sequence[str]) -> tuple[str, float]:
     """The likeliest label and its share; a number without a label gives an empty one."""
     import numpy as np

@@ -6,12 +6,12 @@ no expression can say.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import SPANS, empty_spans
@@ -48,6 +48,24 @@ class FunctionRecognizer:
         return F.coalesce(found(text), empty_spans())
 
 
+def register_table_function(spark: SparkSession, name: str, recognizers: Sequence[FunctionRecognizer]) -> None:
+    """Make function recognizers callable in SQL: SELECT ... FROM t, LATERAL name(text, language).
+
+    A row for each match: entity_type, start, end, score, recognizer, value. A recognizer takes part if it is of the
+    language asked for; null and empty texts, a null language, and languages without recognizers give no rows.
+    """
+    known = [(x.name, x.entity, x.language, x.function) for x in recognizers]
+
+    class Detect:
+        def eval(self, text: str, language: str):
+            for recognizer, entity, code, function in known if text else ():
+                if code == language:
+                    for start, end, score in function(text):
+                        yield entity, start, end, float(score), recognizer, text[start:end]
+
+    spark.udtf.register(name, F.udtf(Detect, returnType="entity_type string, start int, end int, score double, recognizer string, value string"))
+
+
 def anonymize_with(df: DataFrame, functions: Mapping[str, Callable[[str], str]], text: str = "text", spans: str = "spans", to: str = "anonymized") -> DataFrame:
     """Like anonymize, with Python functions by entity type, or DEFAULT; each item's operator is the function's name.
 

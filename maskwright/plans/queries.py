@@ -15,7 +15,7 @@ from ..operators import recognizers as R
 from ..operators.analyze import Analyzer, explode_spans, span_rows
 from ..operators.context import Enhancer
 from ..operators.evaluate import agreement, detection_failures, golden_failures
-from ..operators.python_path import FunctionRecognizer, anonymize_with
+from ..operators.python_path import FunctionRecognizer, anonymize_with, register_table_function
 from ..operators.registry import Registry, default_registry
 from ..operators.resolve import drop_contained, without_conflicts
 from ..sources import spread
@@ -397,6 +397,18 @@ def function_recognizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.explode(recognizer.detect(F.col("text"))).alias("s")).select("id", "s.entity_type", "s.start", "s.end", "s.score")
 
 
+@_register(
+    "table_function",
+    "SELECT id, 'SHELF' AS entity_type, CAST(i - 1 AS INTEGER) AS start, CAST(i AS INTEGER) AS \"end\", 0.5::DOUBLE AS score, 'ShelfRecognizer' AS recognizer, substr(t, i, 1) AS value "
+    "FROM (SELECT c_custkey AS id, c_mktsegment AS t, unnest(range(1, length(c_mktsegment) + 1)) AS i FROM customer WHERE c_nationkey % 2 = 0) WHERE substr(t, i, 1) BETWEEN 'A' AND 'Z'",
+)
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recognizer called from SQL; customers of every other nation are in a language that it does not know."""
+    register_table_function(spark, "detect_shelves", [FunctionRecognizer("ShelfRecognizer", "SHELF", "en", _shelves)])
+    customers = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_mktsegment AS text", "IF(c_nationkey % 2 = 0, 'en', 'xx') AS lang")
+    return spark.sql("SELECT c.id, d.* FROM {customers} c, LATERAL detect_shelves(c.text, c.lang) d", customers=customers)
+
+
 def _backwards(value: str) -> str:
     return value[::-1]
 

@@ -310,3 +310,13 @@ def test_url_queries_try_every_domain(spark, small, tmp_path):
     assert {r.id for r in plans.QUERIES["analyze_documents"](spark, str(tmp_path)).where("entity_type = 'URL'").collect()} == set(range(len(urls)))
     texts = [r.text for r in plans.QUERIES["anonymize_documents"](spark, str(tmp_path)).orderBy("id").collect()]
     assert texts == [*["see <URL> now"] * 5, "see <URL>:80/q now"]
+
+
+def test_table_function(spark):
+    from maskwright.operators.python_path import FunctionRecognizer, register_table_function
+
+    both = [FunctionRecognizer("Caps", "CAP", "en", lambda t: [(i, i + 1, 1) for i, c in enumerate(t) if c.isupper()]), FunctionRecognizer("Ends", "END", "fr", lambda t: [(len(t) - 1, len(t), 0.5)])]
+    register_table_function(spark, "find_marks", both)
+    df = spark.createDataFrame([(1, "é😀A b", "en"), (2, "fin", "fr"), (3, None, "en"), (4, "", "en"), (5, "A", None), (6, "A", "xx")], "id int, text string, lang string")
+    got = spark.sql("SELECT t.id, m.* FROM {t} t, LATERAL find_marks(t.text, t.lang) m ORDER BY id", t=df).collect()
+    assert [tuple(r) for r in got] == [(1, "CAP", 2, 3, 1.0, "Caps", "A"), (2, "END", 2, 3, 0.5, "Ends", "n")]

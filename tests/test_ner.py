@@ -1,5 +1,7 @@
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,80 @@ def test_engine(spark):
         Analyzer(Registry([]), engine=N.NerEngine({}, predict))
 
 
+def _field(number, value):
+    """A field of a protocol buffer: a number, or bytes."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _model(folder, rows, lower=True):
+    """A model folder whose logits are a table's rows, looked up by token id."""
+
+    def value(name, kind, *dims):
+        shape = b"".join(_field(1, _field(1, d) if isinstance(d, int) else _field(2, d)) for d in dims)
+        return _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
+
+    rows = np.asarray(rows, np.float32)
+    table = _field(1, rows.shape[0]) + _field(1, rows.shape[1]) + _field(2, 1) + _field(8, "table") + _field(9, rows.tobytes())
+    node = _field(1, "table") + _field(1, "input_ids") + _field(2, "logits") + _field(4, "Gather")
+    inputs = b"".join(_field(11, value(x, 7, "b", "s")) for x in ("input_ids", "attention_mask"))
+    graph = _field(1, node) + _field(2, "g") + _field(5, table) + inputs + _field(12, value("logits", 1, "b", "s", rows.shape[1]))
+    (folder / "model.onnx").write_bytes(_field(1, 8) + _field(8, _field(2, 13)) + _field(7, graph))
+    (folder / "config.json").write_text(json.dumps({"id2label": {"0": "O", "1": "B-PER", "2": "B-LOC"}}))
+    (folder / "vocab.txt").write_text("\n".join(VOCABULARY))
+    (folder / "tokenizer_config.json").write_text(json.dumps({"do_lower_case": lower}))
+
+
+def _logits():
+    rows = np.zeros((len(VOCABULARY), 3))
+    rows[:, 0] = 4.0
+    rows[VOCABULARY["john"]] = [0, 5, 0]
+    rows[VOCABULARY["paris"]] = [0, 0, 3]
+    return rows
+
+
+def test_onnx_model_on_workers(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    _model(tmp_path, _logits())
+    engine = N.onnx_engine(spark, tmp_path, size=6, shared=2, batch=3)
+    assert engine.lower and N.ship(spark, tmp_path) == N.ship(spark, tmp_path)
+    texts = ["Johnson works in Paris", None, "", "works " * 20 + "john", "paris"]
+    rows = engine.process(sources.from_strings(spark, texts)).orderBy("id").collect()
+    got = [[(e.label, e.start, e.end, round(e.score, 4)) for e in r.artifacts.ner_entities] for r in rows]
+    person, place = round(1 / (1 + 2 * math.exp(-5)), 4), round(1 / (1 + 2 * math.exp(-3)), 4)
+    assert got == [[("PER", 0, 7, person), ("LOC", 17, 22, place)], [], [], [("PER", 120, 124, person)], [("LOC", 0, 5, place)]]
+    # What is sent away with do_lower_case false knows no capitals.
+    other = tmp_path / "cased"
+    other.mkdir()
+    _model(other, _logits(), lower=False)
+    cased = N.onnx_engine(spark, other)
+    assert [len(r.artifacts.ner_entities) for r in cased.process(sources.from_strings(spark, ["Paris", "paris"])).orderBy("id").collect()] == [0, 1]
+
+
+def test_onnx_batches_and_lifecycle(tmp_path):
+    pytest.importorskip("onnxruntime")
+    _model(tmp_path, _logits())
+    calls = []
+    many = N.OnnxPredictor(tmp_path, batch=2)
+    run = many.session.run
+    many.session = type("Session", (), {"run": lambda self, names, given: calls.append(given["input_ids"].shape) or run(names, given)})()
+    parts = [N.tokenize(x, VOCABULARY, True) for x in ("john", "in paris", "paris", "at", "john works")]
+    assert many.many(parts) == [N.OnnxPredictor(tmp_path)(x) for x in parts]
+    assert sorted(calls) == [(1, 3), (2, 3), (2, 4)] and many.many([]) == []
+    N.unload_models()
+    make = N.onnx_predict(tmp_path, batch=1)
+    assert make() is make() and N.unload_models() == 1 and N.unload_models() == 0
+    assert make()(parts[0])[0][0] == "B-PER" and N.unload_models() == 1
+    with pytest.raises(FileNotFoundError):
+        N.OnnxPredictor(tmp_path / "none")
+
+
 def test_mapping():
     assert R.NerRecognizer().entities == ("PERSON", "LOCATION", "ORGANIZATION", "NRP")
     assert R.NerRecognizer(labels=(("X", "THING"),)).entities == ("THING",)
