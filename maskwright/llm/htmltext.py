@@ -15,7 +15,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +45,8 @@ _KEPT_CLASSES = {"html", "body", "main", "article"}
 _MODIFIERS = {"has", "with", "without", "no", "not"}
 #: Elements whose ids name what they say.
 _ANCHORED = {"p", "section"}
+#: Elements of running text. Within articles, a class of theirs that has other words too, as in social-history, says what the text is about.
+_TEXTS = {"p", "figure", "figcaption", "blockquote", "q", "pre", "td", "li", "dd"}
 #: A hint alone masks at most this many words, or, beside articles, fewer than they have.
 FEW_WORDS = 25
 
@@ -72,6 +74,8 @@ def _hinted(name: str, value: str, inside_article: bool) -> bool:
             if piece in _MODIFIERS:
                 break
             found.add(piece)
+        if inside_article and name in _TEXTS and found - _NOISE:
+            continue
         found &= _NOISE
         if found and not (inside_article and found == {"header"}):
             return True
@@ -140,7 +144,10 @@ def _settle(elements: list[_Element]) -> None:
 
 
 def items(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text, separates): kind is a tag's name, "word", "link" or "masked"; separates if a block ends there."""
+    """(kind, text, separates): kind is a tag's name, "word", "link", "beside" or "masked"; separates if a block ends there.
+
+    Where articles hold at least half of the words, those outside of them, but for a title, are beside.
+    """
     row: list[tuple[str, str, bool, _Element | None]] = []
     elements: list[_Element] = []
     stack: list[_Element] = []
@@ -215,13 +222,23 @@ def items(page: str) -> Iterator[tuple[str, str, bool]]:
         if place >= n:
             break
     _settle(elements)
+    within = sum(e.words for e in elements if e.is_article() and not e.inside)
+    mostly = within > 0 and 2 * within >= sum(e.words for e in elements if e.parent is None)
     for kind, text, separates, element in row:
-        yield ("masked" if element and element.masked else kind), text, separates
+        if element and element.masked:
+            kind = "masked"
+        elif mostly and kind in ("word", "link") and not (element and (element.inside or element.is_article() or element.name == "h1")):
+            kind = "beside"
+        yield kind, text, separates
+
+
+#: Kinds of text, which count by words, and those of them that are given out.
+_COUNTED, _GIVEN = ("word", "link", "beside", "masked"), ("word", "link", "beside")
 
 
 def _kinds(page: str) -> Iterator[tuple[str, int]]:
     for kind, text, _ in items(page):
-        if kind in ("word", "link", "masked"):
+        if kind in _COUNTED:
             yield kind, len(text.split())
         else:
             yield kind, 1
@@ -252,7 +269,7 @@ def labelled_pages() -> list[tuple[str, str, str]]:
         heading = f"<h1>{say(8, k)}</h1>"
         links = "".join(f'<div><a href="/{w}">{w}</a> | </div>' for w in words[: 3 + k % 9])
         if k % 3 == 0:
-            out.append((f"<html><head><title>{say(6, k)}</title></head><body><nav><ul>{menu}</ul></nav><article>", heading + body, f"</article><footer>{say(5, k)}</footer></body></html>"))
+            out.append((f"<html><head><title>{say(6, k)}</title></head><body><nav><ul>{menu}</ul></nav><div>{say(9, k)}</div><article>", heading + body, f"</article><section><p>{say(14, k)}</p></section><footer>{say(5, k)}</footer></body></html>"))
         elif k % 3 == 1:
             out.append((f"<html><body><div>{links}</div><main><div>", heading + body, f"</div></main><div>{links}</div><div>{say(4, k)}</div></body></html>"))
         else:
@@ -288,26 +305,32 @@ def learn(pages: list[tuple[str, str, str]]) -> dict[str, float]:
 WEIGHTS = learn(labelled_pages())
 
 
-def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
-    """The page's article, white space made single, blocks joined by one space; empty if it has none."""
-    row = list(items(page or ""))
-    other = weights[""]
-    best, best_at = 0.0, (0, 0)
+def best_run(scores: Iterable[float]) -> tuple[int, int]:
+    """[a, b): the contiguous run of the largest sum, in one scan; the one that ends first among equals, empty if none is above zero."""
+    best, found = 0.0, (0, 0)
     total, start = 0.0, 0
-    for i, (kind, text, _) in enumerate(row):
+    for i, score in enumerate(scores):
         if total <= 0.0:
             total, start = 0.0, i
-        if kind == "word":
-            total += weights["word"] * len(text.split())
-        elif kind == "link":
-            total += weights["link"] * len(text.split())
-        else:
-            total += weights.get(kind, other)
+        total += score
         if total > best:
-            best, best_at = total, (start, i + 1)
+            best, found = total, (start, i + 1)
+    return found
+
+
+def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
+    """The page's article, white space made single, blocks joined by one space; empty if it has none."""
+    row = list(items(page or ""))
+    other = weights[""]
+    first, last = best_run(weights[kind] * len(text.split()) if kind in _COUNTED else weights.get(kind, other) for kind, text, _ in row)
+    # A block belongs to the article as a whole: a sentence that ends with a link does not lose it.
+    while first < last < len(row) and not row[last][2] and not row[last - 1][2]:
+        last += 1
+    while 0 < first < last and not row[first][2] and not row[first - 1][2]:
+        first -= 1
     parts: list[str] = []
-    for kind, text, separates in row[best_at[0] : best_at[1]]:
-        if kind in ("word", "link"):
+    for kind, text, separates in row[first:last]:
+        if kind in _GIVEN:
             parts.append(text)
         elif separates:
             parts.append(" ")

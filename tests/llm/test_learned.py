@@ -78,6 +78,40 @@ def test_weights_have_their_signs():
     assert htmltext.WEIGHTS["word"] > 0 and all(v <= 0 for k, v in htmltext.WEIGHTS.items() if k != "word")
 
 
+def test_best_run_is_the_best_of_all_runs():
+    rng = np.random.default_rng(11)
+    for n in [*range(9), *([40] * 60)]:
+        scores = rng.integers(-6, 5, n).tolist()
+        a, b = htmltext.best_run(scores)
+        sums = {(i, j): sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1)}
+        assert sum(scores[a:b]) == max([0, *sums.values()])
+        assert (a, b) == (0, 0) or b == min(j for (_, j), x in sums.items() if x == sum(scores[a:b]))
+
+
+_A = "The river ran slowly past the old mills while people in town spoke of rain and harvests."
+_B = "Later that year the council met twice and agreed on repairs to the bridge over the weir."
+_C = "Nobody could say how long the works would take, but most were glad that they had begun."
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        (f'<article><h1>One</h1><div class="search-results"><p>{_A}</p><p>{_B}</p></div><p>{_C}</p></article>', f"One {_A} {_B} {_C}"),
+        (f'<article><p class="social-history">{_A}</p><p>{_B}</p></article>', f"{_A} {_B}"),
+        (f'<article><p>{_A}</p><figure class="banner-image"><figcaption>The old mill</figcaption></figure><p>{_B}</p></article>', f"{_A} The old mill {_B}"),
+        (f'<article><p>{_A}</p><p class="ad">Buy now</p><p>{_B}</p></article><section id="responses"><p>Great post! I like it</p></section>', f"{_A} {_B}"),
+        (f'<div class="box"><p>We use cookies to improve this site.</p></div><article><p>{_A}</p><p>{_B}</p></article>', f"{_A} {_B}"),
+        (f"<main><h1>One day at the weir</h1><article><p>{_A}</p></article></main>", f"One day at the weir {_A}"),
+        (f"<div><article><p>See also</p></article></div><div><p>{_A}</p><p>{_B}</p><p>{_C}</p></div>", f"{_A} {_B} {_C}"),
+        (f'<div class="top"><ul><li><a href=/x>X</a></li><li><a href=/y>Y</a></li></ul></div><div id="c"><h1>One</h1><p>{_A}</p><p>{_B} See <a href=/z>the first report</a>.</p></div><div><ul><li><a href=/q>Other</a></li><li><a href=/r>More</a></li></ul></div>', f"One {_A} {_B} See the first report."),
+        (f"<table><tr><td><a href=/a>A</a><br><a href=/b>B</a></td><td><h2>One</h2><p>{_A}</p><p>{_B}</p></td></tr></table>", f"One {_A} {_B}"),
+    ],
+)
+def test_layouts(inner, text):
+    """What the classes hint at within an article stays, what stands beside it goes, and pages without one have theirs found."""
+    assert htmltext.main_text(f"<html><body><nav><a href=/a>Home</a></nav>{inner}<footer>All rights reserved</footer></body></html>") == text
+
+
 def test_extraction(spark, small):
     rows = htmltext.op2_html(spark, small).collect()
     pages = {r[0]: r[1] for r in duckdb.sql(f"SELECT page_id, html FROM '{small}/pages.parquet'").fetchall()}
