@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import duckdb
@@ -80,6 +81,36 @@ def test_suffix_dedup_keeps_the_rest_as_text(spark):
         assert row.text == rest.decode(errors="ignore") and row.kept_sha256 == hashlib.sha256(rest).hexdigest()
 
 
+def test_suffix_dedup_of_bytes_that_are_no_utf8(spark, tmp_path):
+    one, other = (b"\xff\xc3" + bytes(range(97, 117)) * k for k in (21, 20))
+    raws = [b"\xe9" * 450, b"z" * 450 + b"\xe9", b"ok \xc3", b"a" + one, other + b"\xf0\x9f", None, "é".encode() * 200]
+    df = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(raws)], "doc_id long, text binary")
+    for kind in ("string", "binary"):
+        path = f"file://{tmp_path}/{kind}"
+        df.select("doc_id", df.text.cast(kind).alias("text")).write.parquet(f"{path}/documents.parquet")
+        rows = suffixdedup.op1_suffix(spark, path).orderBy("doc_id").collect()
+        windows = [[(x or b"")[i : i + 400] for i in range(len(x or b"") - 399)] for x in raws]
+        seen = Counter(w for x in windows for w in x)
+        for row, raw, own in zip(rows, raws, windows, strict=True):
+            flags = bytearray(len(raw or b""))
+            for i, w in enumerate(own):
+                if seen[w] > 1:
+                    flags[i : i + 400] = b"\1" * 400
+            rest = bytes(x for x, gone in zip(raw or b"", flags, strict=True) if not gone)
+            spans = sum(gone and not before for before, gone in zip(b"\0" + flags, flags, strict=False))
+            assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(flags), sum(flags), spans, hashlib.sha256(rest).hexdigest())
+
+
+def test_suffix_dedup_tells_texts_of_one_md5_apart(spark):
+    first = "d131dd02c5e6eec4693d9a0698aff95c2fcab58712467eab4004583eb8fb7f8955ad340609f4b30283e488832571415a085125e8f7cdc99fd91dbdf280373c5bd8823e3156348f5bae6dacd436c919c6dd53e2b487da03fd02396306d248cda0e99f33420f577ee8ce54b67080a80d1ec69821bcb6a8839396f9652b6ff72a70"
+    second = "d131dd02c5e6eec4693d9a0698aff95c2fcab50712467eab4004583eb8fb7f8955ad340609f4b30283e4888325f1415a085125e8f7cdc99fd91dbd7280373c5bd8823e3156348f5bae6dacd436c919c6dd53e23487da03fd02396306d248cda0e99f33420f577ee8ce54b67080280d1ec69821bcb6a8839396f965ab6ff72a70"
+    raws = [bytes.fromhex(first), bytes.fromhex(second)]
+    assert raws[0] != raws[1] and len({hashlib.md5(x).digest() for x in raws}) == 1
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raws)], "doc_id long, text binary")
+    rows = suffixdedup.dedup(df.select("doc_id", df.text.cast("string").alias("text"))).orderBy("doc_id").collect()
+    assert [r.kept_sha256 for r in rows] == [hashlib.sha256(x).hexdigest() for x in raws]
+
+
 def test_suffix_dedup_of_very_long_texts(spark):
     rng = np.random.default_rng(5)
     long = bytes(rng.integers(97, 107, 700_000, dtype=np.uint8)).decode()
